@@ -1,0 +1 @@
+"""Intentionally empty: every table in scope is a batch table."""
