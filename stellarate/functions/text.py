@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -93,25 +94,36 @@ def remove_stop_words(words: Column, stop_words: list[str] | None = None) -> Col
     return F.filter(words, lambda word: ~F.lower(word).isin(listed))
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over ``value``, which is evaluated once and not at each use in a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def term_counts(words: Column) -> Column:
     """Distinct tokens of one row with their counts, as array<struct<token, tf>>.
 
     Works on the row's own array (sort, then cut at changes), so counting the
     terms of a document needs no shuffle.
     """
-    ordered = F.sort_array(words)
-    total = F.size(ordered)
-    starts = F.filter(
-        F.sequence(F.lit(1), total),
-        lambda i: (i == 1) | (F.get(ordered, i - 1) != F.get(ordered, i - 2)),
-    )
-    counted = F.transform(
-        starts,
-        lambda start, n: F.struct(
-            F.get(ordered, start - 1).alias("token"),
-            (F.coalesce(F.get(starts, n + 1), total + 1) - start)
-            .cast("bigint")
-            .alias("tf"),
-        ),
+
+    def counted(ordered: Column, starts: Column) -> Column:
+        end = F.size(ordered) + 1
+        return F.transform(
+            starts,
+            lambda start, n: F.struct(
+                F.get(ordered, start - 1).alias("token"),
+                (F.coalesce(F.get(starts, n + 1), end) - start).cast("bigint").alias("tf"),
+            ),
+        )
+
+    def first_places(ordered: Column) -> Column:
+        return F.filter(
+            F.sequence(F.lit(1), F.size(ordered)),
+            lambda i: (i == 1) | (F.get(ordered, i - 1) != F.get(ordered, i - 2)),
+        )
+
+    counts = _bound(
+        F.sort_array(words),
+        lambda ordered: _bound(first_places(ordered), lambda starts: counted(ordered, starts)),
     )
-    return F.when(total > 0, counted)
+    return F.when(F.size(words) > 0, counts)

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from itertools import combinations_with_replacement
+from math import ceil, log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,27 +44,25 @@ def _values(df: DataFrame, column: str) -> DataFrame:
     return df.select(known(df, column).alias("x")).where("x IS NOT NULL")
 
 
-def _limits(values: DataFrame) -> DataFrame:
-    """Lowest and highest ``x``, half a unit apart each way if they are equal."""
-    ends = values.agg(F.min("x").alias("min"), F.max("x").alias("max"))
-    spread = F.when(F.col("min") == F.col("max"), 0.5).otherwise(0.0)
-    return ends.select(
-        (F.col("min") - spread).alias("lo"), (F.col("max") + spread).alias("hi")
-    )
+def _limits(values: DataFrame, *names: str) -> list[tuple[float, float]]:
+    """(lowest, highest) of each column, half a unit further apart if they are equal."""
+    ends = values.agg(*[f(n) for n in names for f in (F.min, F.max)]).first()
+    pairs = [(lo or 0.0, hi or 0.0) for lo, hi in zip(ends[::2], ends[1::2])]
+    return [(lo - 0.5, hi + 0.5) if lo == hi else (lo, hi) for lo, hi in pairs]
 
 
-def _edge(lo: Column, hi: Column, bins: Column, number: Column) -> Column:
-    inner = lo + number * ((hi - lo) / bins)
-    return F.when(number == bins, hi).otherwise(inner)
+def _edge(lo: float, hi: float, bins: int, number: Column) -> Column:
+    inner = F.lit(lo) + number * F.lit((hi - lo) / bins)
+    return F.when(number == bins, F.lit(hi)).otherwise(inner)
 
 
-def _equal_bin(x: Column, lo: Column, hi: Column, bins: Column) -> Column:
+def _equal_bin(x: Column, lo: float, hi: float, bins: int) -> Column:
     """Bin of ``x``; bins are closed below, the last one also above.
 
     The quotient may be off by one next to an edge, so it is checked against
     the edges themselves.
     """
-    guess = F.least(F.floor((x - lo) / (hi - lo) * bins), bins - 1)
+    guess = F.least(F.floor((x - lo) / (hi - lo) * bins), F.lit(bins - 1))
     return (
         F.when(x < _edge(lo, hi, bins, guess), guess - 1)
         .when((x >= _edge(lo, hi, bins, guess + 1)) & (guess < bins - 1), guess + 1)
@@ -71,9 +70,8 @@ def _equal_bin(x: Column, lo: Column, hi: Column, bins: Column) -> Column:
     )
 
 
-def _binned(values: DataFrame, shape: Column) -> DataFrame:
-    """Counts of the non-empty equal-width bins; ``shape`` has lo, hi and bins."""
-    lo, hi, bins = shape["lo"], shape["hi"], shape["bins"]
+def _binned(values: DataFrame, lo: float, hi: float, bins: int) -> DataFrame:
+    """Counts of the non-empty equal-width bins."""
     return (
         values.select(_equal_bin(F.col("x"), lo, hi, bins).alias("bin"))
         .groupBy("bin")
@@ -81,8 +79,7 @@ def _binned(values: DataFrame, shape: Column) -> DataFrame:
     )
 
 
-def _bin_row(shape: Column) -> list[Column]:
-    lo, hi, bins = shape["lo"], shape["hi"], shape["bins"]
+def _bin_row(lo: float, hi: float, bins: int) -> list[Column]:
     number = F.col("bin")
     return [
         number,
@@ -95,13 +92,10 @@ def _bin_row(shape: Column) -> list[Column]:
 def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
     """Equal-width histogram: (bin, lower, upper, count), empty bins included."""
     values = _values(df, column)
-    shape = _limits(values).select(
-        F.struct("lo", "hi", F.lit(bins).cast("bigint").alias("bins")).alias("shape")
-    )
-    bounds = shape.scalar()
-    every_bin = df.sparkSession.range(bins).withColumnRenamed("id", "bin")
-    joined = every_bin.join(_binned(values, bounds), "bin", "left")
-    return joined.select(*_bin_row(bounds))
+    [(lo, hi)] = _limits(values, "x")
+    every_bin = df.sparkSession.range(bins, numPartitions=1).withColumnRenamed("id", "bin")
+    joined = every_bin.join(_binned(values, lo, hi, bins), "bin", "left")
+    return joined.select(*_bin_row(lo, hi, bins))
 
 
 def histogram_of_edges(df: DataFrame, column: str, edges: Sequence[float]) -> DataFrame:
@@ -115,12 +109,14 @@ def histogram_of_edges(df: DataFrame, column: str, edges: Sequence[float]) -> Da
         .groupBy("bin")
         .agg(F.count(F.lit(1)).alias("count"))
     )
-    every_bin = df.sparkSession.createDataFrame(
-        [(i, float(edges[i]), float(edges[i + 1])) for i in range(last + 1)],
-        "bin bigint, lower double, upper double",
-    )
+    ends = F.array(*[F.lit(float(edge)) for edge in edges])
+    every_bin = df.sparkSession.range(last + 1, numPartitions=1).withColumnRenamed("id", "bin")
+    number = F.col("bin").cast("int")
     return every_bin.join(counts, "bin", "left").select(
-        "bin", "lower", "upper", F.coalesce("count", F.lit(0)).cast("bigint").alias("count")
+        "bin",
+        F.get(ends, number).alias("lower"),
+        F.get(ends, number + 1).alias("upper"),
+        F.coalesce("count", F.lit(0)).cast("bigint").alias("count"),
     )
 
 
@@ -131,21 +127,13 @@ def automatic_histogram(df: DataFrame, column: str) -> DataFrame:
     Empty bins are left out: with far outliers there can be very many.
     """
     values = _values(df, column)
-    quartiles = ValueCounts(df, [column]).quantiles([0.25, 0.75])
-    spread = quartiles.select(
-        F.struct((F.col("q1") - F.col("q0")).alias("iqr"), F.col("n")).alias("s")
-    ).scalar()
-    width = F.col("hi") - F.col("lo")
-    sturges = width / (F.log2(F.col("n").cast("double")) + 1)
-    freedman = 2 * F.col("iqr") / F.pow(F.col("n").cast("double"), F.lit(1 / 3))
-    step = F.when(freedman > 0, F.least(freedman, sturges)).otherwise(sturges)
-    shape = (
-        _limits(values)
-        .select("lo", "hi", spread["iqr"].alias("iqr"), spread["n"].alias("n"))
-        .select(F.struct("lo", "hi", F.ceil(width / step).alias("bins")).alias("shape"))
-    )
-    bounds = shape.scalar()
-    return _binned(values, bounds).select(*_bin_row(bounds))
+    [(lo, hi)] = _limits(values, "x")
+    box = ValueCounts(df, [column]).quantiles([0.25, 0.75]).first()
+    if box is None:
+        return _binned(values, lo, hi, 1).select(*_bin_row(lo, hi, 1))
+    steps = [(hi - lo) / (log2(box["n"]) + 1), 2 * (box["q1"] - box["q0"]) / box["n"] ** (1 / 3)]
+    bins = ceil((hi - lo) / min(step for step in steps if step > 0))
+    return _binned(values, lo, hi, bins).select(*_bin_row(lo, hi, bins))
 
 
 def box_statistics(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
@@ -222,15 +210,12 @@ def scatter_counts(
     points = df.select(known(df, x).alias("px"), known(df, y).alias("py")).where(
         "px IS NOT NULL AND py IS NOT NULL"
     )
-    bins = []
-    for name, number in (("px", x_bins), ("py", y_bins)):
-        ends = _limits(points.select(F.col(name).alias("x")))
-        shape = ends.select(F.struct("lo", "hi").alias("s")).scalar()
-        bins.append(
-            _equal_bin(F.col(name), shape["lo"], shape["hi"], F.lit(number).cast("bigint"))
-        )
+    (x_lo, x_hi), (y_lo, y_hi) = _limits(points, "px", "py")
     return (
-        points.select(bins[0].alias("x_bin"), bins[1].alias("y_bin"))
+        points.select(
+            _equal_bin(F.col("px"), x_lo, x_hi, x_bins).alias("x_bin"),
+            _equal_bin(F.col("py"), y_lo, y_hi, y_bins).alias("y_bin"),
+        )
         .groupBy("x_bin", "y_bin")
         .agg(F.count(F.lit(1)).alias("count"))
     )

@@ -66,7 +66,7 @@ def typed_cells(table: str, numeric: dict[str, list[str]], strings: dict[str, li
             text = f"{stat}({c})" if stat in ("min", "max") else "NULL::VARCHAR"
             parts.append(
                 f"SELECT '{c}' AS \"column\", '{stat}' AS stat, {value} AS value, "
-                f"{text} AS text FROM {table}"
+                f"{text} AS text FROM {table} HAVING count(*) >= 0"
             )
     return union(parts)
 
@@ -287,7 +287,7 @@ ORACLES: dict[str, str] = {
           AND value IS NOT NULL AND NOT isnan(value)""",
     "null_report": union(
         f"SELECT '{c}' AS \"column\", count(*) FILTER ({c} IS NULL) AS before, "
-        f"{0 if c != 'props' else 'NULL'}::BIGINT AS after FROM ({GAPPY})"
+        f"0::BIGINT AS after FROM ({GAPPY})"
         for c in ("event_id", "ts", "user_id", "event_type", "value", "props")
     ),
     "rename_join": JOINED,

@@ -118,7 +118,7 @@ def clean_dropna(spark: SparkSession, sf: str) -> DataFrame:
 def null_report(spark: SparkSession, sf: str) -> DataFrame:
     before = gappy_events(spark, sf)
     return cleaning.null_report(
-        before, cleaning.clean(before, cleaning.Rule(("props",), True))
+        before, cleaning.clean(before, cleaning.Rule(complete_rows_only=True))
     )
 
 
