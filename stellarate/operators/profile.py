@@ -146,7 +146,23 @@ def describe_numeric(df: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
     basic = summary(df, names, ["count", "mean", "std", "min", "max"]).drop("text")
     wide = ValueCounts(df, names).quantiles(list(QUARTILES.values()))
     labelled = wide.select("column", *[F.col(f"q{i}").alias(q) for i, q in enumerate(QUARTILES)])
-    return basic.unionByName(labelled.unpivot(["column"], list(QUARTILES), "stat", "value"))
+    # A column without any value has no quantiles, but it does have their rows.
+    empty = [
+        F.struct(
+            F.lit(name).alias("column"),
+            F.lit(stat).alias("stat"),
+            F.lit(None).cast("double").alias("value"),
+        )
+        for name in names
+        for stat in QUARTILES
+    ]
+    parts = [
+        basic,
+        labelled.unpivot(["column"], list(QUARTILES), "stat", "value"),
+        df.sparkSession.range(1, numPartitions=1).select(F.inline(F.array(*empty))),
+    ]
+    whole = reduce(DataFrame.unionByName, parts)
+    return whole.groupBy("column", "stat").agg(F.max("value").alias("value"))
 
 
 def value_range(df: DataFrame, column: str) -> DataFrame:

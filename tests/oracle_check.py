@@ -1,4 +1,4 @@
-"""Run queries and oracles side by side: ``python tests/check_oracles.py [sf] [name ...]``."""
+"""Run queries and oracles side by side: ``python tests/oracle_check.py [sf] [name ...]``."""
 
 from __future__ import annotations
 
