@@ -47,10 +47,8 @@ ENGLISH_STOP_WORDS = (
     "why's would"
 ).split()
 
-# The characters that count as whitespace, as a Java class body.
-WHITESPACE = (
-    r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-)
+# A run of anything but whitespace: Unicode white space and four control characters.
+NOT_SPACE = r"(?U)[^\s\x1c-\x1f]+"
 
 WORD_PATTERN = r"\w+"
 
@@ -66,7 +64,7 @@ def word_count(text: Column, empty_as_null: bool = True) -> Column:
     Null text gives null. An empty string gives null too unless
     ``empty_as_null`` is off, which then gives 0.
     """
-    words = F.regexp_count(text, F.lit(f"[^{WHITESPACE}]+"))
+    words = F.regexp_count(text, F.lit(NOT_SPACE))
     return F.when(text != "", words) if empty_as_null else words
 
 
@@ -76,11 +74,13 @@ def has_text(text: Column) -> Column:
 
 
 def expand_contractions(text: Column) -> Column:
-    return reduce(
+    """All contractions in list order; texts without an apostrophe skip the search."""
+    expanded = reduce(
         lambda column, pair: F.replace(column, F.lit(pair[0]), F.lit(pair[1])),
         CONTRACTIONS.items(),
         text,
     )
+    return F.when(F.contains(text, F.lit("'")), expanded).otherwise(text)
 
 
 def tokenize(text: Column) -> Column:

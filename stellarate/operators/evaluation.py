@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stellarate.operators.ordered import (
@@ -13,14 +13,36 @@ from stellarate.operators.ordered import (
 )
 
 
+def score_counts(
+    scored: DataFrame, score: str, label: str = "label", prediction: str = "prediction"
+) -> DataFrame:
+    """Rows per (label, prediction, score), with their number in ``n``.
+
+    All that the functions below need of a scored frame; they take the ``n``
+    of such a frame as ``weight``.
+    """
+    named = scored.select(
+        F.col(label).alias("label"), F.col(prediction).alias("prediction"), F.col(score).alias("score")
+    )
+    return named.groupBy("label", "prediction", "score").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _weight(weight: str | None) -> Column:
+    return F.lit(1).cast("bigint") if weight is None else F.col(weight)
+
+
 def confusion_matrix(
-    scored: DataFrame, label: str = "label", prediction: str = "prediction"
+    scored: DataFrame,
+    label: str = "label",
+    prediction: str = "prediction",
+    weight: str | None = None,
 ) -> DataFrame:
     """Rows per label with the counts of both predictions, also if one never occurs."""
     counts = (
-        scored.groupBy(F.col(label).cast("double").alias("label"))
+        scored.withColumn("_n", _weight(weight))
+        .groupBy(F.col(label).cast("double").alias("label"))
         .pivot(prediction, [0.0, 1.0])
-        .agg(F.count(F.lit(1)))
+        .agg(F.sum("_n"))
         .na.fill(0)
     )
     return counts.select(
@@ -29,18 +51,25 @@ def confusion_matrix(
 
 
 def class_metrics(
-    scored: DataFrame, label: str = "label", prediction: str = "prediction"
+    scored: DataFrame,
+    label: str = "label",
+    prediction: str = "prediction",
+    weight: str | None = None,
 ) -> DataFrame:
     """The four cell counts with accuracy, precision, recall and F1 in one row.
 
     A metric with a zero denominator is null.
     """
     actual, predicted = F.col(label) == 1, F.col(prediction) == 1
+
+    def rows(cell: Column) -> Column:
+        return F.coalesce(F.sum(F.when(cell, _weight(weight))), F.lit(0).cast("bigint"))
+
     cells = scored.agg(
-        F.count_if(actual & predicted).alias("tp"),
-        F.count_if(~actual & predicted).alias("fp"),
-        F.count_if(actual & ~predicted).alias("fn"),
-        F.count_if(~actual & ~predicted).alias("tn"),
+        rows(actual & predicted).alias("tp"),
+        rows(~actual & predicted).alias("fp"),
+        rows(actual & ~predicted).alias("fn"),
+        rows(~actual & ~predicted).alias("tn"),
     )
     tp, fp, fn, tn = (F.col(name) for name in ("tp", "fp", "fn", "tn"))
     precision, recall = F.col("precision"), F.col("recall")
@@ -52,16 +81,18 @@ def class_metrics(
     ).withColumn("f1", F.try_divide(2 * precision * recall, precision + recall))
 
 
-def _ranked_scores(scored: DataFrame, score: str, label: str) -> DataFrame:
+def _ranked_scores(
+    scored: DataFrame, score: str, label: str, weight: str | None
+) -> DataFrame:
     """One row per distinct score, with class counts and running totals.
 
     Scores are negated, so that running totals go from the highest score down.
     """
     flags = scored.select(
         (-F.col(score).cast("double")).alias("rank"),
-        (F.col(label) == 1).cast("bigint").alias("pos"),
-        (F.col(label) != 1).cast("bigint").alias("neg"),
-    ).where(F.col("rank").isNotNull() & F.col("pos").isNotNull())
+        F.when(F.col(label) == 1, _weight(weight)).otherwise(F.lit(0)).alias("pos"),
+        F.when(F.col(label) != 1, _weight(weight)).otherwise(F.lit(0)).alias("neg"),
+    ).where(F.col("rank").isNotNull() & (F.col("pos") + F.col("neg") > 0))
     counts = flags.groupBy("rank").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     placed = in_buckets(counts, "rank", cut_points(flags, "rank"))
     measures = ["pos", "neg"]
@@ -70,9 +101,11 @@ def _ranked_scores(scored: DataFrame, score: str, label: str) -> DataFrame:
     )
 
 
-def roc_points(scored: DataFrame, score: str, label: str = "label") -> DataFrame:
+def roc_points(
+    scored: DataFrame, score: str, label: str = "label", weight: str | None = None
+) -> DataFrame:
     """(threshold, fpr, tpr) at every distinct score; the origin has no threshold."""
-    points = _ranked_scores(scored, score, label).select(
+    points = _ranked_scores(scored, score, label, weight).select(
         (-F.col("rank")).alias("threshold"),
         F.try_divide("upto_neg", "total_neg").alias("fpr"),
         F.try_divide("upto_pos", "total_pos").alias("tpr"),
@@ -85,10 +118,12 @@ def roc_points(scored: DataFrame, score: str, label: str = "label") -> DataFrame
     return origin.unionByName(points)
 
 
-def area_under_roc(scored: DataFrame, score: str, label: str = "label") -> DataFrame:
+def area_under_roc(
+    scored: DataFrame, score: str, label: str = "label", weight: str | None = None
+) -> DataFrame:
     """Exact AUC in one row: the share of (positive, negative) pairs in the
     right order, with equal scores counting half."""
-    ranked = _ranked_scores(scored, score, label)
+    ranked = _ranked_scores(scored, score, label, weight)
     above = F.col("upto_pos") - F.col("pos") + F.col("pos") / 2
     area = F.sum(F.col("neg") * above.cast("double"))
     pairs = F.max("total_pos").cast("double") * F.max("total_neg").cast("double")

@@ -10,6 +10,7 @@ and only within a bucket are values put in order.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -18,18 +19,22 @@ from pyspark.sql import functions as F
 from stellarate.functions.numbers import known
 from stellarate.session import checkpointed
 
-BUCKETS = 1024
-CUT_POINT_ROWS = 1_000_000
+ROWS_PER_BUCKET = 1_000_000
+MOST_BUCKETS = 8192
+CUT_POINT_ROWS = 2_000_000
 
 
-def cut_points(df: DataFrame, value: str, buckets: int = BUCKETS) -> list[float]:
-    """At most ``buckets - 1`` values that share the rows of ``df`` out evenly.
+def cut_points(df: DataFrame, value: str) -> list[float]:
+    """Values that share the rows of ``df`` out evenly, ``ROWS_PER_BUCKET`` to a bucket.
 
     They decide how well the buckets balance and nothing else: any cut points
     give the same result. So on big inputs they come from a sample, which keeps
     the sketch that one task has to merge small.
     """
     rows = df.count()
+    buckets = min(MOST_BUCKETS, ceil(rows / ROWS_PER_BUCKET))
+    if buckets <= 1:
+        return [0.0]
     part = df.select(value)
     if rows > CUT_POINT_ROWS:
         part = part.sample(CUT_POINT_ROWS / rows, seed=1)
@@ -49,7 +54,7 @@ def bucket_offsets(
 ) -> DataFrame:
     """Per key and bucket and measure: ``in_``, ``before_`` and ``total_`` sums.
 
-    The windows run over one row per bucket, so at most ``BUCKETS`` rows a key.
+    The windows run over one row per bucket, so at most ``MOST_BUCKETS`` rows a key.
     """
     sums = bucketed.groupBy(*keys, "bucket").agg(
         *[F.sum(m).alias(f"in_{m}") for m in measures]

@@ -83,8 +83,13 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     )
 
 
-def _statistic(df: DataFrame, name: str, stat: str) -> tuple[Column, Column]:
-    """(numeric value, text value) of one statistic as aggregate columns."""
+def _statistic(
+    df: DataFrame, name: str, stat: str, shares: list[float]
+) -> tuple[Column, Column]:
+    """(numeric value, text value) of one statistic as aggregate columns.
+
+    The approximate quantiles of a column are all taken from one sketch.
+    """
     kind = df.schema[name].dataType
     column = F.col(f"`{name}`")
     no_number, no_text = F.lit(None).cast("double"), F.lit(None).cast("string")
@@ -100,17 +105,17 @@ def _statistic(df: DataFrame, name: str, stat: str) -> tuple[Column, Column]:
         return F.avg(number), no_text
     if stat in ("std", "stddev"):
         return F.stddev_samp(number), no_text
-    share = float(stat.rstrip("%")) / 100
-    return F.percentile_approx(number, share, 10_000).cast("double"), no_text
+    sketch = F.percentile_approx(number, shares, 10_000)
+    return sketch[shares.index(_share(stat))], no_text
 
 
-def summary(df: DataFrame, columns: Sequence[str], stats: Sequence[str]) -> DataFrame:
-    """Long table (column, stat, value, text) of chosen statistics, in one pass.
+def _share(stat: str) -> float:
+    return float(stat.rstrip("%")) / 100
 
-    Strings have count, min and max (in ``text``); their other statistics are
-    null. A statistic like ``25%`` is an approximate quantile.
-    """
-    cells = [
+
+def _cells(df: DataFrame, columns: Sequence[str], stats: Sequence[str]) -> list[Column]:
+    shares = [_share(stat) for stat in stats if stat.endswith("%")]
+    return [
         F.struct(
             F.lit(name).alias("column"),
             F.lit(stat).alias("stat"),
@@ -119,8 +124,17 @@ def summary(df: DataFrame, columns: Sequence[str], stats: Sequence[str]) -> Data
         )
         for name in columns
         for stat in stats
-        for number, text in [_statistic(df, name, stat)]
+        for number, text in [_statistic(df, name, stat, shares)]
     ]
+
+
+def summary(df: DataFrame, columns: Sequence[str], stats: Sequence[str]) -> DataFrame:
+    """Long table (column, stat, value, text) of chosen statistics, in one pass.
+
+    Strings have count, min and max (in ``text``); their other statistics are
+    null. A statistic like ``25%`` is an approximate quantile.
+    """
+    cells = _cells(df, columns, stats)
     return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
 
 
@@ -140,29 +154,31 @@ def summary_all(df: DataFrame) -> DataFrame:
     return summary(df, described_columns(df), stats)
 
 
-def describe_numeric(df: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
-    """Long table (column, stat, value): count, mean, std, min, exact quartiles, max."""
-    names = list(columns) or numeric_columns(df)
-    basic = summary(df, names, ["count", "mean", "std", "min", "max"]).drop("text")
-    wide = ValueCounts(df, names).quantiles(list(QUARTILES.values()))
+BASIC = ["count", "mean", "std", "min", "max"]
+
+
+def quartile_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, stat, value): the exact quartiles; null for a column without values."""
+    wide = ValueCounts(df, columns).quantiles(list(QUARTILES.values()))
     labelled = wide.select("column", *[F.col(f"q{i}").alias(q) for i, q in enumerate(QUARTILES)])
-    # A column without any value has no quantiles, but it does have their rows.
     empty = [
         F.struct(
             F.lit(name).alias("column"),
             F.lit(stat).alias("stat"),
             F.lit(None).cast("double").alias("value"),
         )
-        for name in names
+        for name in columns
         for stat in QUARTILES
     ]
-    parts = [
-        basic,
-        labelled.unpivot(["column"], list(QUARTILES), "stat", "value"),
-        df.sparkSession.range(1, numPartitions=1).select(F.inline(F.array(*empty))),
-    ]
-    whole = reduce(DataFrame.unionByName, parts)
-    return whole.groupBy("column", "stat").agg(F.max("value").alias("value"))
+    every = df.sparkSession.range(1, numPartitions=1).select(F.inline(F.array(*empty)))
+    found = labelled.unpivot(["column"], list(QUARTILES), "stat", "value")
+    return every.unionByName(found).groupBy("column", "stat").agg(F.max("value").alias("value"))
+
+
+def describe_numeric(df: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
+    """Long table (column, stat, value): count, mean, std, min, exact quartiles, max."""
+    names = list(columns) or numeric_columns(df)
+    return summary(df, names, BASIC).drop("text").unionByName(quartile_rows(df, names))
 
 
 def value_range(df: DataFrame, column: str) -> DataFrame:
@@ -198,10 +214,12 @@ def profile(
             cell(field.name, "non_null", F.count_if(~missing)),
             cell(field.name, "nulls", F.count_if(missing)),
         ]
+    numbers = numeric_columns(df)
+    cells += _cells(df, numbers, BASIC)
     parts = [df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))]
     no_text = F.lit(None).cast("string").alias("text")
-    if numeric_columns(df):
-        parts.append(describe_numeric(df).select("*", no_text))
+    if numbers:
+        parts.append(quartile_rows(df, numbers).select("*", no_text))
     if duplicates:
         count = duplicate_rows(df).select(F.col("duplicate_rows").cast("double").alias("value"))
         parts.append(

@@ -16,18 +16,20 @@ def token_tfidf(df: DataFrame, key: str, words: Column, min_doc_freq: int = 1) -
     idf = ln((rows + 1) / (df + 1)), and 0 for tokens in fewer than
     ``min_doc_freq`` rows.
 
-    Term counts are made within the row. The pairs are shuffled once, by token
-    and a salt from the key, because a common token occurs in nearly every row;
-    both the document frequencies and the join back work on that partitioning,
-    with the far smaller vocabulary repeated for each salt.
+    Term counts are made within the row, so the pairs are shuffled once only,
+    for the join with the document frequencies. As a common token occurs in
+    nearly every row, that join is on the token and a salt from the key; the
+    far smaller vocabulary is repeated for the salts a token occurs with.
+    Document frequencies are combined before they are shuffled.
     """
-    pairs = (
-        df.select(key, F.inline(term_counts(words)))
-        .withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
-        .repartition("token", "_salt")
+    salt = F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int").alias("_salt")
+    pairs = df.select(key, salt, F.inline(term_counts(words)))
+    per_salt = (
+        df.select(salt, F.explode(F.array_distinct(words)).alias("token"))
+        .groupBy("token", "_salt")
+        .agg(F.count(F.lit(1)).alias("df"))
     )
-    per_part = pairs.groupBy("token", "_salt").agg(F.count(F.lit(1)).alias("df"))
-    vocabulary = per_part.groupBy("token").agg(
+    vocabulary = per_salt.groupBy("token").agg(
         F.sum("df").alias("df"), F.collect_list("_salt").alias("_salts")
     )
     rows = df.agg(F.count(F.lit(1)).alias("rows")).scalar()

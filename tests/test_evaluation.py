@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 
-from stellarate.operators import evaluation, ordered
+from stellarate.operators import evaluation
 
 
 def scored(spark, rows):
@@ -62,7 +62,3 @@ def test_roc_is_monotone_and_ends_at_one(spark, ranked_rows):
 
 def test_auc_of_one_class_is_null(spark):
     assert evaluation.area_under_roc(scored(spark, [(1.0, 1.0, 0.5)]), "score").first().auc is None
-
-
-def test_buckets_are_bounded():
-    assert ordered.BUCKETS <= 10_000

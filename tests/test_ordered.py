@@ -34,8 +34,12 @@ def test_quantiles_do_not_depend_on_the_cut_points(skewed, monkeypatch, points):
 
 def test_cut_points_come_from_a_sample_of_big_inputs(spark, monkeypatch):
     monkeypatch.setattr(ordered, "CUT_POINT_ROWS", 500)
-    points = ordered.cut_points(spark.range(20_000).select(F.col("id").cast("double").alias("x")), "x", 8)
+    monkeypatch.setattr(ordered, "ROWS_PER_BUCKET", 2500)
+    ids = spark.range(20_000).select(F.col("id").cast("double").alias("x"))
+    points = ordered.cut_points(ids, "x")
     assert len(points) == 7 and points == sorted(points)
+    monkeypatch.setattr(ordered, "MOST_BUCKETS", 3)
+    assert len(ordered.cut_points(ids, "x")) == 2
 
 
 def test_running_totals(spark):
