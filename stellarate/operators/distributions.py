@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from stellarate.functions.numbers import known, numeric_columns
 from stellarate.functions.sampling import hash_sample
+from stellarate.operators.columns import drop_incomplete_rows
 from stellarate.operators.ordered import ValueCounts
 
 
@@ -41,7 +42,7 @@ def last_rows(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
 
 
 def _values(df: DataFrame, column: str) -> DataFrame:
-    return df.select(known(df, column).alias("x")).where("x IS NOT NULL")
+    return drop_incomplete_rows(df, [column]).select(F.col(column).cast("double").alias("x"))
 
 
 def _limits(values: DataFrame, *names: str) -> list[tuple[float, float]]:
@@ -154,7 +155,7 @@ def box_statistics(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFr
         (F.col("q0") - 1.5 * iqr).alias("low_fence"),
         (F.col("q2") + 1.5 * iqr).alias("high_fence"),
     )
-    fenced = counted.offsets.select(*keys, "bucket").join(boxes, keys)
+    fenced = counted.offsets.select(*keys, "bucket", "total_n").join(boxes, keys)
     rows = counted.values.join(fenced, [*keys, "bucket"])
     value, n = F.col("value"), F.col("n")
     inside = value.between(F.col("low_fence"), F.col("high_fence"))
@@ -167,7 +168,7 @@ def box_statistics(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFr
             F.min(F.when(inside, value)).alias("inner_low"),
             F.max(F.when(inside, value)).alias("inner_high"),
             F.sum(F.when(inside, F.lit(0)).otherwise(n)).cast("bigint").alias("outliers"),
-            F.sum(n).cast("bigint").alias("rows"),
+            F.first("total_n").alias("rows"),
         )
         .select(
             *by,
@@ -207,8 +208,8 @@ def scatter_counts(
     df: DataFrame, x: str, y: str, x_bins: int = 50, y_bins: int = 50
 ) -> DataFrame:
     """All (x, y) points as counts on an equal-width grid, without empty cells."""
-    points = df.select(known(df, x).alias("px"), known(df, y).alias("py")).where(
-        "px IS NOT NULL AND py IS NOT NULL"
+    points = drop_incomplete_rows(df, [x, y]).select(
+        F.col(x).cast("double").alias("px"), F.col(y).cast("double").alias("py")
     )
     (x_lo, x_hi), (y_lo, y_hi) = _limits(points, "px", "py")
     return (

@@ -41,7 +41,7 @@ def join_dimension(
     part = F.pmod(F.xxhash64(*(spread or fact.columns)), F.lit(SALTS)).cast("int")
     every_part = F.sequence(F.lit(0), F.lit(SALTS - 1))
     salted_fact = fact.join(F.broadcast(hot), key, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), part).otherwise(F.lit(0))
+        "_salt", F.coalesce(F.when(F.col("_hot"), part), F.lit(0))
     )
     salted_dimension = dimension.join(F.broadcast(hot), key, "left").withColumn(
         "_salt", F.explode(F.when(F.col("_hot"), every_part).otherwise(F.array(F.lit(0))))

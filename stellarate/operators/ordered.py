@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stellarate.functions.numbers import known
+from stellarate.operators.columns import drop_incomplete_rows
 from stellarate.session import checkpointed
 
 ROWS_PER_BUCKET = 1_000_000
@@ -44,9 +45,14 @@ def cut_points(df: DataFrame, value: str) -> list[float]:
 
 
 def in_buckets(df: DataFrame, value: str, points: Sequence[float]) -> DataFrame:
-    """Add ``bucket``, increasing with ``value`` (a double without NaN or null)."""
+    """Add ``bucket``, increasing with ``value`` (a double without NaN or null).
+
+    The column cannot be null, so a join on it adds no null filter to just one
+    of several uses of the frame, and Spark reuses the shuffle below them.
+    """
     edges = [float("-inf"), *points, float("inf")]
-    return Bucketizer(splits=edges, inputCol=value, outputCol="bucket").transform(df)
+    bucketed = Bucketizer(splits=edges, inputCol=value, outputCol="bucket").transform(df)
+    return bucketed.withColumn("bucket", F.coalesce(F.col("bucket").cast("int"), F.lit(0)))
 
 
 def bucket_offsets(
@@ -89,13 +95,13 @@ def with_running_totals(
 
 def stacked(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Rows (by..., column, value) for all known values of numeric columns."""
-    doubles = df.select(*by, *[known(df, name).alias(name) for name in columns])
     if len(columns) == 1:
-        long = doubles.select(
-            *by, F.lit(columns[0]).alias("column"), F.col(columns[0]).alias("value")
+        # With a plain filter on the one column, the scan can skip its nulls.
+        return drop_incomplete_rows(df, list(columns)).select(
+            *by, F.lit(columns[0]).alias("column"), F.col(columns[0]).cast("double").alias("value")
         )
-    else:
-        long = doubles.unpivot(list(by), list(columns), "column", "value")
+    doubles = df.select(*by, *[known(df, name).alias(name) for name in columns])
+    long = doubles.unpivot(list(by), list(columns), "column", "value")
     return long.where(F.col("value").isNotNull())
 
 
