@@ -13,7 +13,7 @@ def is_floating(kind: T.DataType) -> bool:
 
 def is_missing(df: DataFrame, name: str, nan_as_null: bool = False) -> Column:
     """Null test; with ``nan_as_null`` a NaN counts as missing as well."""
-    column = F.col(name)
+    column = F.col(f"`{name}`")
     if nan_as_null and is_floating(df.schema[name].dataType):
         return column.isNull() | F.isnan(column)
     return column.isNull()
@@ -21,7 +21,7 @@ def is_missing(df: DataFrame, name: str, nan_as_null: bool = False) -> Column:
 
 def known(df: DataFrame, name: str) -> Column:
     """The column as double, with NaN turned to null."""
-    column = F.col(name).cast("double")
+    column = F.col(f"`{name}`").cast("double")
     if is_floating(df.schema[name].dataType):
         return F.when(~F.isnan(column), column)
     return column

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 10 << 20
 HOT_SHARE = 0.001
 SALTS = 32
 
