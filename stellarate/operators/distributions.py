@@ -137,49 +137,64 @@ def automatic_histogram(df: DataFrame, column: str) -> DataFrame:
     return _binned(values, lo, hi, bins).select(*_bin_row(lo, hi, bins))
 
 
+def _box(value: Column, low: Column, high: Column, n: Column, q1: Column, q3: Column) -> list[Column]:
+    """Aggregates for whisker ends and outliers, given the fences."""
+    inside = value.between(low, high)
+    return [
+        F.least(F.min(F.when(inside, value)), q1).alias("whisker_low"),
+        F.greatest(F.max(F.when(inside, value)), q3).alias("whisker_high"),
+        F.coalesce(F.sum(F.when(~inside, n)), F.lit(0)).cast("bigint").alias("outliers"),
+    ]
+
+
 def box_statistics(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     """Box-plot numbers: q1, median, q3, whisker ends, outliers, rows.
 
     Whiskers end at the outermost values within 1.5 interquartile ranges of the
-    box. The fences are attached to the bucket totals first, at most one row per
-    bucket and group, so a group with most of the rows is still read in pieces.
+    box, and at the box where there are none.
     """
     counted = ValueCounts(df, [column], by)
+    quartiles = counted.quantiles([0.25, 0.5, 0.75])
+    if by:
+        return _grouped_boxes(counted, quartiles)
+    box = quartiles.first()
+    q1, median, q3 = (F.lit(box and box[name]).cast("double") for name in ("q0", "q1", "q2"))
+    low, high = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+    return _values(df, column).agg(
+        q1.alias("q1"),
+        median.alias("median"),
+        q3.alias("q3"),
+        *_box(F.col("x"), low, high, F.lit(1), q1, q3),
+        F.count(F.lit(1)).alias("rows"),
+    )
+
+
+def _grouped_boxes(counted: ValueCounts, quartiles: DataFrame) -> DataFrame:
+    """Boxes per group. The fences go to the bucket totals first, at most one row
+    per bucket and group, so a group with most of the rows is read in pieces."""
     keys = counted.keys
     iqr = F.col("q2") - F.col("q0")
-    boxes = counted.quantiles([0.25, 0.5, 0.75]).select(
+    boxes = quartiles.select(
         *keys,
         "q0",
         "q1",
         "q2",
-        (F.col("q0") - 1.5 * iqr).alias("low_fence"),
-        (F.col("q2") + 1.5 * iqr).alias("high_fence"),
+        (F.col("q0") - 1.5 * iqr).alias("low"),
+        (F.col("q2") + 1.5 * iqr).alias("high"),
     )
     fenced = counted.offsets.select(*keys, "bucket", "total_n").join(boxes, keys)
     rows = counted.values.join(fenced, [*keys, "bucket"])
-    value, n = F.col("value"), F.col("n")
-    inside = value.between(F.col("low_fence"), F.col("high_fence"))
+    q1, q3 = F.first("q0"), F.first("q2")
     return (
         rows.groupBy(*keys)
         .agg(
-            F.first("q0").alias("q1"),
+            q1.alias("q1"),
             F.first("q1").alias("median"),
-            F.first("q2").alias("q3"),
-            F.min(F.when(inside, value)).alias("inner_low"),
-            F.max(F.when(inside, value)).alias("inner_high"),
-            F.sum(F.when(inside, F.lit(0)).otherwise(n)).cast("bigint").alias("outliers"),
+            q3.alias("q3"),
+            *_box(F.col("value"), F.col("low"), F.col("high"), F.col("n"), q1, q3),
             F.first("total_n").alias("rows"),
         )
-        .select(
-            *by,
-            "q1",
-            "median",
-            "q3",
-            F.least("inner_low", "q1").alias("whisker_low"),
-            F.greatest("inner_high", "q3").alias("whisker_high"),
-            "outliers",
-            "rows",
-        )
+        .drop("column")
     )
 
 

@@ -96,9 +96,8 @@ def _ranked_scores(
     counts = flags.groupBy("rank").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     placed = in_buckets(counts, "rank", cut_points(flags, "rank"))
     measures = ["pos", "neg"]
-    return with_running_totals(
-        placed, bucket_offsets(placed, [], measures), [], "rank", measures
-    )
+    rows = placed.join(bucket_offsets(placed, [], measures), "bucket")
+    return with_running_totals(rows, [], "rank", measures)
 
 
 def roc_points(

@@ -1,10 +1,10 @@
 """Exact results that need a global order, without ordering everything in one task.
 
 Quantiles, ROC curves and box plots all need ranks or running totals over a
-whole column. Here the rows are first combined to one row per distinct value
-(so a value held by a third of all rows becomes one row), the values are dealt
-to buckets by cut points, the totals per bucket give every bucket its offset,
-and only within a bucket are values put in order.
+whole column. Here the values are dealt to buckets by cut points, the totals per
+bucket give every bucket its offset, and only within the buckets that matter are
+values put in order. There they are combined to one row per distinct value first,
+so a value held by a third of all rows becomes one row.
 """
 
 from __future__ import annotations
@@ -75,20 +75,14 @@ def bucket_offsets(
 
 
 def with_running_totals(
-    bucketed: DataFrame,
-    offsets: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    measures: Sequence[str],
+    rows: DataFrame, keys: Sequence[str], value: str, measures: Sequence[str]
 ) -> DataFrame:
     """Add ``upto_<measure>``: the sum over all rows of the key up to this value.
 
-    ``bucketed`` holds one row per key and value. Buckets missing from
-    ``offsets`` are left out.
+    ``rows`` has one row per key and value, with the offsets of its bucket.
     """
     within = Window.partitionBy(*keys, "bucket").orderBy(value)
-    joined = bucketed.join(offsets, [*keys, "bucket"])
-    return joined.withColumns(
+    return rows.withColumns(
         {f"upto_{m}": F.col(f"before_{m}") + F.sum(m).over(within) for m in measures}
     )
 
@@ -106,22 +100,31 @@ def stacked(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> Da
 
 
 class ValueCounts:
-    """Counts per distinct value of some columns, dealt to buckets.
+    """The values of some columns, dealt to buckets and counted per bucket.
 
     The keys are the ``by`` columns and ``column``, the name of the counted one.
+    Without ``by`` the rows themselves are counted per bucket, which shuffles
+    next to nothing. Groups can be many, so with ``by`` the rows are combined to
+    one per group and value first.
     """
 
     def __init__(self, df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()):
         long = stacked(df, columns, by)
+        self.by = list(by)
         self.keys = [*by, "column"]
-        counts = long.groupBy(*self.keys, "value").agg(F.count(F.lit(1)).alias("n"))
+        if by:
+            counts = long.groupBy(*self.keys, "value").agg(F.count(F.lit(1)).alias("n"))
+        else:
+            counts = long.withColumn("n", F.lit(1).cast("bigint"))
         self.values = in_buckets(counts, "value", cut_points(long, "value"))
         self.offsets = bucket_offsets(self.values, self.keys, ["n"])
 
     def quantiles(self, shares: Sequence[float]) -> DataFrame:
         """Exact quantiles, linear between neighbours: keys, n, q0, q1, ...
 
-        Only the buckets that hold a wanted rank are put in order.
+        Only the values in buckets that hold a wanted rank are combined and put
+        in order. Without ``by`` these buckets are broadcast: there are at most
+        two for each column and share.
         """
         last = F.col("total_n") - 1
 
@@ -136,9 +139,19 @@ class ValueCounts:
         for pair in ranks:
             for rank in pair:
                 wanted = wanted | ((rank >= start) & (rank < end))
-        rows = with_running_totals(
-            self.values, self.offsets.where(wanted), self.keys, "value", ["n"]
+        buckets = self.offsets.where(wanted)
+        if not self.by:
+            buckets = F.broadcast(buckets)
+        held = (
+            self.values.join(buckets, [*self.keys, "bucket"])
+            .groupBy(*self.keys, "bucket", "value")
+            .agg(
+                F.sum("n").alias("n"),
+                F.first("before_n").alias("before_n"),
+                F.first("total_n").alias("total_n"),
+            )
         )
+        rows = with_running_totals(held, self.keys, "value", ["n"])
 
         def value_at(rank: Column) -> Column:
             covers = (rank < F.col("upto_n")) & (rank >= F.col("upto_n") - F.col("n"))

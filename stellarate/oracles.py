@@ -234,7 +234,7 @@ SELECT doc_id, token, tf, df, round(idf, 6) AS idf, round(tf * idf, 6) AS tfidf
 FROM t JOIN i USING (token)
 """
 
-TRAINING_FRAME = f"""
+REVIEW_FRAME = f"""
 WITH b AS (
   SELECT source AS business_id, 'Source ' || source AS business_name,
          count(*) AS business_review_count, floor(avg(quality) * 8) / 2 + 1 AS business_stars,
@@ -245,11 +245,33 @@ WITH b AS (
 r AS (
   SELECT source AS business_id, doc_id::VARCHAR AS review_id,
          (1 + 4 * quality)::DOUBLE AS review_stars, length({expanded("text")})::INT AS revised_length
-  FROM documents JOIN labels USING (doc_id))
-SELECT review_id, business_id, review_stars, business_name, business_review_count,
-       business_stars, business_noiselevel, business_ambience, revised_length
-FROM r JOIN b USING (business_id)
-WHERE {draw("review_id")} < '{threshold(0.4)}' AND business_stars IS NOT NULL
+  FROM documents JOIN labels USING (doc_id)),
+f AS (
+  SELECT review_id, business_id, review_stars, business_name, business_review_count,
+         business_stars, business_noiselevel, business_ambience, revised_length
+  FROM r JOIN b USING (business_id) WHERE business_stars IS NOT NULL)
+"""
+
+
+def levels(column: str) -> str:
+    """(v, level, width): the categories of a column by falling frequency."""
+    return (
+        f"SELECT {column} AS v, row_number() OVER (ORDER BY count(*) DESC, {column}) - 1 AS level, "
+        f"count(*) OVER () AS width FROM f GROUP BY {column}"
+    )
+
+
+EXPLORATORY_FEATURES = f"""{REVIEW_FRAME},
+a AS ({levels("business_ambience")}), n AS ({levels("business_noiselevel")})
+SELECT review_id, level::INT AS position, (business_ambience = v)::INT::DOUBLE AS value
+FROM f CROSS JOIN a
+UNION ALL
+SELECT review_id, (level + (SELECT max(width) FROM a))::INT, (business_noiselevel = v)::INT::DOUBLE
+FROM f CROSS JOIN n
+UNION ALL
+SELECT review_id, (good + (SELECT max(width) FROM a) + (SELECT max(width) FROM n))::INT,
+       ((business_stars > 2.999)::INT = good)::INT::DOUBLE
+FROM f CROSS JOIN (VALUES (0), (1)) AS g(good)
 """
 
 ORACLES: dict[str, str] = {
@@ -424,5 +446,10 @@ ORACLES: dict[str, str] = {
         SELECT p_partkey, p_retailprice, 7 AS same,
                round((p_retailprice - lo) / (hi - lo), 9) AS price_scaled, 0.5::DOUBLE AS same_scaled
         FROM part, s""",
-    "training_frame": TRAINING_FRAME,
+    "training_frame": f"""{REVIEW_FRAME}
+        SELECT * FROM f WHERE {draw("review_id")} < '{threshold(0.4)}'""",
+    "exploratory_features": EXPLORATORY_FEATURES,
+    "model_roundtrip": f"""{REVIEW_FRAME}
+        SELECT count(*) AS rows, 0::BIGINT AS different FROM f
+        WHERE {draw("review_id")} >= '{threshold(0.7)}'""",
 }

@@ -32,6 +32,19 @@ def test_quantiles_do_not_depend_on_the_cut_points(skewed, monkeypatch, points):
         assert np.allclose([row[f"q{i}"] for i in range(6)], np.quantile(values, shares))
 
 
+@pytest.mark.parametrize("points", [[0.0], [-50.0, 0.0, 7.0, 9.0, 10.0, 11.0]])
+def test_quantiles_without_groups(skewed, monkeypatch, points):
+    monkeypatch.setattr(ordered, "cut_points", lambda df, value: points)
+    shares = [0.0, 0.25, 0.5, 0.99, 1.0]
+    frame = skewed.withColumn("y", -F.col("x"))
+    got = {r["column"]: r for r in ordered.ValueCounts(frame, ["x", "y"]).quantiles(shares).collect()}
+    values = skewed.toPandas().x
+    for name, sign in (("x", 1), ("y", -1)):
+        assert got[name].n == len(values)
+        found = [got[name][f"q{i}"] for i in range(len(shares))]
+        assert np.allclose(found, np.quantile(sign * values, shares))
+
+
 def test_cut_points_come_from_a_sample_of_big_inputs(spark, monkeypatch):
     monkeypatch.setattr(ordered, "CUT_POINT_ROWS", 500)
     monkeypatch.setattr(ordered, "ROWS_PER_BUCKET", 2500)
@@ -46,8 +59,8 @@ def test_running_totals(spark):
     rows = [(float(i % 50), i % 3) for i in range(1000)]
     counts = spark.createDataFrame(rows, "x double, m int").groupBy("x").agg(F.sum("m").alias("m"))
     placed = ordered.in_buckets(counts, "x", [3.0, 10.0, 11.0, 40.0])
-    offsets = ordered.bucket_offsets(placed, [], ["m"])
-    got = ordered.with_running_totals(placed, offsets, [], "x", ["m"]).collect()
+    rows_of_buckets = placed.join(ordered.bucket_offsets(placed, [], ["m"]), "bucket")
+    got = ordered.with_running_totals(rows_of_buckets, [], "x", ["m"]).collect()
     for row in got:
         assert row.upto_m == sum(m for x, m in rows if x <= row.x)
         assert row.total_m == sum(m for _, m in rows)
