@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from stellarate.operators.columns import drop_columns, drop_incomplete_rows
 from stellarate.operators.profile import null_counts
 from stellarate.sources.schemas import COMPLIMENT_KINDS, SCHEMAS
-from stellarate.sources.tables import Layout, read_json, read_parquet, write_parquet
+from stellarate.sources.tables import Layout, read_json, stored
 
 
 @dataclass(frozen=True)
@@ -53,8 +53,7 @@ def clean_table(
 ) -> DataFrame:
     """Clean one table and write it; returns the written table."""
     raw = landing_table(spark, layout, table, infer)
-    write_parquet(clean(raw, RULES[table]), layout.cleaned(table), mode)
-    return read_parquet(spark, layout.cleaned(table))
+    return stored(clean(raw, RULES[table]), layout.cleaned(table), mode)
 
 
 def null_report(before: DataFrame, after: DataFrame) -> DataFrame:

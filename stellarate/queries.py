@@ -21,7 +21,7 @@ from stellarate.operators.encoding import category_index, index_categories, min_
 from stellarate.operators.tfidf import token_tfidf
 from stellarate.plans import cleaning, exploration, training
 from stellarate.session import scratch_path
-from stellarate.sources.tables import Layout, read_json, read_parquet, write_json, write_parquet
+from stellarate.sources.tables import Layout, read_json, read_parquet, stored, write_json
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -87,9 +87,7 @@ def json_inferred(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def parquet_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    path = scratch_path(spark, "part.parquet")
-    write_parquet(table(spark, sf, "part"), path)
-    return read_parquet(spark, path)
+    return stored(table(spark, sf, "part"), scratch_path(spark, "part.parquet"))
 
 
 def events_with_struct(spark: SparkSession, sf: str) -> DataFrame:
@@ -467,7 +465,8 @@ def trained(
     spark: SparkSession, sf: str, options: training.Options = training.Options()
 ) -> tuple[training.Trained, DataFrame, DataFrame]:
     """(trained model, training part, predictions for the test part)."""
-    learn, test = training.split_frame(review_frame(spark, sf), options)
+    frame = stored(review_frame(spark, sf), scratch_path(spark, "frame.parquet"))
+    learn, test = training.split_frame(frame, options)
     model = training.train(learn, options)
     return model, learn, model.model.transform(test)
 
@@ -521,7 +520,7 @@ def model_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Rows the stored model scores differently from the stored predictions: none."""
     model, learn, predictions = trained(spark, sf, SINGLE)
     layout = Layout(scratch_path(spark, "store"))
-    training.save(model, learn, predictions, layout)
+    training.save(model, predictions, layout)
     stored = read_parquet(spark, layout.trusted("predictions"))
     again = PipelineModel.load(layout.model("pipeline")).transform(
         stored.select(*[c for c in learn.columns])

@@ -51,5 +51,11 @@ def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> None
     df.write.mode(mode).parquet(path)
 
 
+def stored(df: DataFrame, path: str, mode: str = "errorifexists") -> DataFrame:
+    """``df`` written to ``path`` and read back: later steps start from the files."""
+    write_parquet(df, path, mode)
+    return read_parquet(df.sparkSession, path)
+
+
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)

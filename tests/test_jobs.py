@@ -146,8 +146,9 @@ def test_exploration_reports(spark, layout, cleaned):
 
 
 @pytest.fixture(scope="module")
-def frame(cleaned):
-    return training.training_frame(cleaned["review"], cleaned["business"], fraction=1.0).cache()
+def frame(cleaned, layout):
+    joined = training.training_frame(cleaned["review"], cleaned["business"], fraction=1.0)
+    return training.save_frame(joined, layout)
 
 
 @pytest.fixture(scope="module")
@@ -232,7 +233,7 @@ def test_text_features_extend_the_vector(frame):
 
 def test_save_and_load(spark, trained, layout):
     model, learn, predictions = trained
-    training.save(model, learn, predictions, layout)
+    training.save(model, predictions, layout)
     stored = read_parquet(spark, layout.trusted("predictions"))
     assert stored.count() == predictions.count()
     loaded = PipelineModel.load(layout.model("pipeline"))
