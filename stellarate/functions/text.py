@@ -122,8 +122,8 @@ def term_counts(words: Column) -> Column:
             lambda i: (i == 1) | (F.get(ordered, i - 1) != F.get(ordered, i - 2)),
         )
 
-    counts = _bound(
-        F.sort_array(words),
-        lambda ordered: _bound(first_places(ordered), lambda starts: counted(ordered, starts)),
-    )
-    return F.when(F.size(words) > 0, counts)
+    def counts(ordered: Column) -> Column:
+        found = _bound(first_places(ordered), lambda starts: counted(ordered, starts))
+        return F.when(F.size(ordered) > 0, found)
+
+    return _bound(F.sort_array(words), counts)

@@ -398,9 +398,9 @@ def hashed_tfidf(spark: SparkSession, sf: str) -> DataFrame:
     )
     stages = training.text_stages(training.Options())
     weighted = Pipeline(stages=stages).fit(revised).transform(revised)
-    vector = F.unwrap_udt("IDF_features")
-    return weighted.select(
-        "doc_id", F.inline(F.arrays_zip(vector["indices"], vector["values"]))
+    vectors = weighted.select("doc_id", F.unwrap_udt("IDF_features").alias("vector"))
+    return vectors.select(
+        "doc_id", F.inline(F.arrays_zip("vector.indices", "vector.values"))
     ).toDF("doc_id", "bucket", "weight")
 
 
