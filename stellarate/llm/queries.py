@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stellarate.llm import simhash, suffixes
+from stellarate.llm import packing, simhash, suffixes, token_files
 from stellarate.llm.cluster import Scratch
+from stellarate.session import scratch_path
+
+TOKENIZER = "word_bpe_49k.json"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,7 +35,29 @@ def op3_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
         return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op5_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "token-shards")
+    tokenizer = public_tokenizers.path(TOKENIZER)
+    token_files.write_shards(table(spark, sf, "documents"), tokenizer, path)
+    return token_files.read_documents(spark, path)
+
+
+def op10_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf, "documents"), public_tokenizers.path(TOKENIZER))
+    return packed.select(
+        "doc_id",
+        "piece",
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        "sequence_id",
+        "offset",
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op2_simhash": op2_simhash,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op5_token_files": op5_token_files,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
