@@ -1,3 +1,29 @@
 """DuckDB statements for the queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+WHITE = "[\\x20\\x09-\\x0D]+"
+AZ = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def shingles(table: str, key: str) -> str:
+    """Distinct five-word shingles of each text; shorter texts are one shingle."""
+    words = f"regexp_extract_all({AZ.format('text')}, '[^\\x20\\x09-\\x0D]+')"
+    return f"""
+        SELECT {key}, unnest(CASE WHEN len(w) = 0 THEN []
+            ELSE list_distinct(list_transform(range(1, greatest(len(w) - 3, 2)),
+                lambda i: array_to_string(w[i:i + 4], ' '))) END) AS s
+        FROM (SELECT {key}, {words} AS w FROM {table})"""
+
+
+OP8 = f"""
+WITH item AS ({shingles('benchmark', 'item_id')}),
+doc AS ({shingles('documents', 'doc_id')}),
+size AS (SELECT item_id, count(*) AS n FROM item GROUP BY item_id),
+found AS (
+    SELECT doc_id, item_id, count(*) AS n_found FROM doc JOIN item USING (s)
+    GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n AS n_shingles, n_found,
+    CAST(n_found AS DOUBLE) / n AS containment
+FROM found JOIN size USING (item_id) WHERE 5 * n_found >= 4 * n
+"""
+
+ORACLES: dict[str, str] = {"op8_decontamination": OP8}

@@ -8,7 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stellarate.llm import packing, simhash, suffixes, token_files
+from stellarate.llm import (
+    decontamination,
+    packing,
+    quality_model,
+    simhash,
+    suffixes,
+    token_files,
+)
 from stellarate.llm.cluster import Scratch
 from stellarate.session import scratch_path
 
@@ -42,6 +49,19 @@ def op5_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.read_documents(spark, path)
 
 
+def op8_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontamination.contained_items(
+        table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    )
+
+
+def op9_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    with Scratch(spark) as scratch:
+        return quality_model.scores(
+            table(spark, sf, "documents"), table(spark, sf, "labels"), scratch
+        )
+
+
 def op10_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     packed = packing.pack(table(spark, sf, "documents"), public_tokenizers.path(TOKENIZER))
     return packed.select(
@@ -59,5 +79,7 @@ QUERIES: dict[str, Query] = {
     "op2_simhash": op2_simhash,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op5_token_files": op5_token_files,
+    "op8_decontamination": op8_decontamination,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
