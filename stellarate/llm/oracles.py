@@ -26,4 +26,112 @@ SELECT doc_id, item_id, n AS n_shingles, n_found,
 FROM found JOIN size USING (item_id) WHERE 5 * n_found >= 4 * n
 """
 
-ORACLES: dict[str, str] = {"op8_decontamination": OP8}
+NOTICES = """('mit', 'released under the mit license'),
+('mit', 'licensed under the mit license'),
+('apache-2', 'licensed under the apache license version 2 0'),
+('gpl-3', 'licensed under the gnu general public license version 3'),
+('gpl-2', 'licensed under the gnu general public license version 2'),
+('agpl-3', 'licensed under the gnu affero general public license version 3'),
+('lgpl-3', 'licensed under the gnu lesser general public license version 3'),
+('mpl-2', 'subject to the terms of the mozilla public license version 2 0'),
+('bsd-3', 'licensed under the bsd 3 clause license'),
+('isc', 'licensed under the isc license'),
+('cc-by-nc', 'licensed under cc by nc 4 0'),
+('cc-by-sa', 'licensed under cc by sa 4 0'),
+('cc-by-nd', 'licensed under cc by nd 4 0'),
+('cc0', 'dedicated to the public domain under cc0 1 0')"""
+PASSAGES = """('mit', 'permission is hereby granted free of charge to any person obtaining a copy of
+this software and associated documentation files the software to deal in the software without
+restriction'),
+('bsd-3', 'redistribution and use in source and binary forms with or without modification are
+permitted provided that the following conditions are met'),
+('isc', 'permission to use copy modify and or distribute this software for any purpose with or
+without fee is hereby granted'),
+('unlicense', 'this is free and unencumbered software released into the public domain')"""
+WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+
+
+def matched(blocks: str, templates: str) -> str:
+    """Templates of which a block has nine in ten distinct words."""
+    return f"""
+        SELECT doc_id, label, len(list_intersect(t, b)) / len(t) AS c
+        FROM (SELECT doc_id, list_distinct(regexp_extract_all(unnest({blocks}), '{WORD}')) AS b
+              FROM d),
+        (SELECT label, list_distinct(regexp_split_to_array(text, '\\s+')) AS t
+         FROM (VALUES {templates}) v(label, text))
+        WHERE 10 * len(list_intersect(t, b)) >= 9 * len(t)"""
+
+
+OP1 = f"""
+WITH d AS (SELECT doc_id, {AZ.format("coalesce(text, '')")} AS text FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(text, '{WORD}') AS w FROM d),
+p AS (SELECT * FROM (VALUES (['under', 'the', 'mit', 'license'], 'mit'),
+    (['apache', 'license', 'version', '2'], 'apache-2'), (['cc', 'by', 'nc'], 'cc-by-nc'))
+    v(phrase, label)),
+spot AS (SELECT doc_id, label, unnest(list_filter(range(1, len(w) + 1),
+    lambda i: w[i:i + len(phrase) - 1] = phrase)) - 1 AS place FROM w, p),
+base AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM spot GROUP BY doc_id),
+m AS ({matched("string_split(text, chr(10))", NOTICES)}
+    UNION ALL {matched("regexp_split_to_array(text, chr(10) || '[ \\t\\r\\f\\v]*' || chr(10))", PASSAGES)}),
+found AS (SELECT doc_id, label, c FROM m UNION ALL SELECT doc_id, label, 1.0 FROM spot),
+named AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
+    max(c) AS score FROM found GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word,
+    last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+    CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM w LEFT JOIN base USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
+def parts(url: str) -> str:
+    rest = f"""CASE WHEN instr({url}, '://') > 0
+        THEN substring({url}, instr({url}, '://') + 3) ELSE '' END"""
+    return f"""{AZ.format(f"regexp_extract({rest}, '^([^/?#]*)', 1)")} AS host,
+        regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1) AS path,
+        regexp_extract({rest}, '^[^?#]*([?][^#]*)?', 1) AS query, {rest} AS rest"""
+
+
+def ruled(table: str) -> str:
+    return f"""SELECT t.*, r.rule, r.verdict FROM {table} t LEFT JOIN LATERAL (
+        SELECT rule, verdict FROM (VALUES ('com', '/', 'com/', 'allow'),
+            ('example.com', '/en/', 'example.com/en/', 'block'),
+            ('www.example.com', '/en/', 'www.example.com/en/', 'allow'),
+            ('net', '/es/', 'net/es/', 'block'), ('net', '/fr/', 'net/fr/', 'block'))
+            v(h, p, rule, verdict)
+        WHERE (t.host = h OR ends_with(t.host, '.' || h)) AND starts_with(t.path, p)
+        ORDER BY length(rule) DESC LIMIT 1) r ON true"""
+
+
+OP6 = f"""
+WITH RECURSIVE page AS (SELECT *, CASE WHEN rest != '' THEN host || path || query END AS node
+    FROM (SELECT page_id, html, {parts("coalesce(url, '')")} FROM pages)),
+link AS (SELECT host, path, node, unnest([
+    regexp_extract(html, '(?i)<link[^>]*rel=.?canonical[^>]*href=["'']?([^"''\\s>]+)', 1),
+    regexp_extract(html, '(?i)<link[^>]*href=["'']?([^"''\\s>]+)[^>]*rel=.?canonical', 1),
+    regexp_extract(html, '(?i)<meta[^>]*http-equiv=.?refresh[^>]*url=([^"''\\s>]+)', 1)]) AS l
+    FROM page WHERE node IS NOT NULL),
+target AS (SELECT node AS a, CASE WHEN contains(l, '://') THEN l
+    WHEN starts_with(l, '//') THEN 'http:' || l
+    WHEN starts_with(l, '/') THEN 'http://' || host || l
+    ELSE 'http://' || host || coalesce(nullif(regexp_extract(path, '^(.*/)[^/]*$', 1), ''), '/')
+        || l END AS url FROM link WHERE l != ''),
+edge AS (SELECT a, host || path || query AS b FROM (SELECT a, {parts('url')} FROM target)
+    WHERE rest != ''),
+ways AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge),
+reach AS (SELECT a, a AS b FROM ways UNION SELECT r.a, e.b FROM reach r JOIN ways e ON r.b = e.a),
+node AS (SELECT DISTINCT b, {parts("'x://' || b")} FROM reach),
+alias AS (SELECT r.a FROM reach r JOIN ({ruled('node')}) n ON r.b = n.b GROUP BY r.a
+    HAVING bool_or(coalesce(n.verdict = 'block', false))
+        AND NOT bool_or(coalesce(n.verdict = 'allow', false)))
+SELECT page_id, host, path, rule,
+    CASE WHEN verdict IS NOT NULL THEN verdict WHEN alias.a IS NOT NULL THEN 'block'
+        ELSE 'allow' END AS verdict
+FROM ({ruled('page')}) LEFT JOIN alias ON alias.a = node
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_license_scan": OP1,
+    "op6_url_rules": OP6,
+    "op8_decontamination": OP8,
+}
