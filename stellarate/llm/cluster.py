@@ -79,7 +79,12 @@ def hot_keys(counts: DataFrame, key: str, total: int) -> DataFrame:
 
 
 def join_unique(
-    many: DataFrame, one: DataFrame, key: str, counts: DataFrame, total: int
+    many: DataFrame,
+    one: DataFrame,
+    key: str,
+    counts: DataFrame,
+    total: int,
+    how: str = "inner",
 ) -> DataFrame:
     """``many`` joined to ``one`` (unique by ``key``) without a hot key meeting in one task.
 
@@ -94,7 +99,7 @@ def join_unique(
     right = one.join(hot, key, "left").withColumn(
         "_part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
     )
-    return left.drop("parts").join(right.drop("parts"), [key, "_part"]).drop("_part")
+    return left.drop("parts").join(right.drop("parts"), [key, "_part"], how).drop("_part")
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -121,6 +126,12 @@ def batch(schema: pa.Schema, *columns: object) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
+def distinct(key: np.ndarray) -> np.ndarray:
+    """The values of ``key``, which is sorted in place, without repeats."""
+    key.sort()
+    return key[np.append(True, key[1:] != key[:-1])] if len(key) else key
+
+
 def pieces(columns: list[np.ndarray], rows: int) -> Iterator[list[np.ndarray]]:
     """Equally long columns cut to slices of at most ``rows`` rows."""
     for start in range(0, len(columns[0]), rows):

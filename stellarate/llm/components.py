@@ -31,7 +31,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     links = edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     links = scratch.table(links.distinct(), "links")
     seen, count = None, links.count()
-    for _ in range(MOST_ROUNDS):
+    for _ in range(MOST_ROUNDS if count else 0):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = scratch.table(
             _smallest(both, 2 * count)
@@ -59,7 +59,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             break
         seen, count = mark, mark[0]
     else:
-        raise RuntimeError(f"components not settled after {MOST_ROUNDS} rounds")
+        if count:
+            raise RuntimeError(f"components not settled after {MOST_ROUNDS} rounds")
     roots = links.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(
         links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

@@ -21,16 +21,16 @@ THRESHOLD = 0.3
 #: Weights of the pooled covariance, and then of its diagonal, in a class covariance.
 POOLED, DIAGONAL = 0.3, 0.05
 #: Added to each variance; statistics have variances of about 0.01 to 1.
-FLOOR = 1e-3
+FLOOR = 3e-3
 
 UPPER = table((65, 90))
-DIGIT = table((48, 57))
 ODD = table(*((ord(c), ord(c)) for c in "#*$%&|<>"))
 LOUD = table(*((ord(c), ord(c)) for c in "!?"))
 COMMA = table((44, 44), (59, 59))
-LETTER = table((65, 90), (97, 122), (128, 255))
+#: Digits count as letters: numbers in a short text say nothing of its quality.
+LETTER = table((48, 57), (65, 90), (97, 122), (128, 255))
 NAMES = (
-    "size word_length upper digits odd loud commas sentence letters lines distinct adjacent "
+    "size word_length upper odd loud commas sentence letters lines distinct adjacent "
     "bare ended capitals"
 ).split()
 
@@ -76,7 +76,6 @@ def statistics(column: pa.Array) -> np.ndarray:
             np.log1p(count) / 3,
             np.log1p(share(inner, count)),
             np.sqrt(share(upper, size)),
-            np.sqrt(share(bytes_in(DIGIT), size)),
             np.sqrt(share(bytes_in(ODD), size)),
             np.sqrt(share(bytes_in(LOUD), size)),
             np.sqrt(share(bytes_in(COMMA), size)),

@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 
 from stellarate.llm import (
     decontamination,
+    license,
     packing,
     quality_model,
+    quality_rules,
     simhash,
     suffixes,
     token_files,
+    toxicity,
+    url_rules,
 )
 from stellarate.llm.cluster import Scratch
 from stellarate.session import scratch_path
@@ -28,6 +32,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return license.scan(table(spark, sf, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf: str) -> DataFrame:
     with Scratch(spark) as scratch:
         found = simhash.near_copies(table(spark, sf, "documents"), scratch)
@@ -42,6 +50,11 @@ def op3_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
         return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op4_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    trusted = table(spark, sf, "labels").where("quality = 1")
+    return quality_rules.judge(table(spark, sf, "documents"), trusted)
+
+
 def op5_token_files(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "token-shards")
     tokenizer = public_tokenizers.path(TOKENIZER)
@@ -49,6 +62,16 @@ def op5_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.read_documents(spark, path)
 
 
+def op6_url_rules(spark: SparkSession, sf: str) -> DataFrame:
+    with Scratch(spark) as scratch:
+        return url_rules.judge(table(spark, sf, "pages"), scratch)
+
+
+def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    with Scratch(spark) as scratch:
+        return toxicity.scores(table(spark, sf, "documents"), table(spark, sf, "labels"), scratch)
+
+
 def op8_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontamination.contained_items(
         table(spark, sf, "documents"), table(spark, sf, "benchmark")
@@ -76,9 +99,13 @@ def op10_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_license_scan": op1_license_scan,
     "op2_simhash": op2_simhash,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_quality_rules": op4_quality_rules,
     "op5_token_files": op5_token_files,
+    "op6_url_rules": op6_url_rules,
+    "op7_toxicity": op7_toxicity,
     "op8_decontamination": op8_decontamination,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_best_fit_packing": op10_best_fit_packing,

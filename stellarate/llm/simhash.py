@@ -24,7 +24,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stellarate.llm.cluster import Batches, Scratch, batch, join_unique, map_arrow, pieces
+from stellarate.llm.cluster import (
+    Batches,
+    Scratch,
+    batch,
+    distinct,
+    join_unique,
+    map_arrow,
+    pieces,
+)
 from stellarate.llm.components import components
 
 BITS = 64
@@ -236,7 +244,7 @@ def link_bucket(fps: np.ndarray, left: np.ndarray, known: int, radius: int) -> n
         variant, owner = variant[order], owner[order]
         meet = np.flatnonzero(variant[1:] == variant[:-1])
         a, b = owner[meet], owner[meet + 1]
-        pair = np.unique(np.minimum(a, b) * len(fps) + np.maximum(a, b))
+        pair = distinct(np.minimum(a, b) * len(fps) + np.maximum(a, b))
         a, b = pair // len(fps), pair % len(fps)
         near = np.bitwise_count(fps[a] ^ fps[b]) <= radius
         label = unite(label, a[near], b[near])
@@ -277,14 +285,14 @@ class Link:
             yield batch(schema, fp[label[joined]], fp[joined])
 
 
-def links(distinct: DataFrame, count: int, scratch: Scratch, radius: int = RADIUS) -> DataFrame:
+def links(prints: DataFrame, count: int, scratch: Scratch, radius: int = RADIUS) -> DataFrame:
     """(a, b): edges that connect exactly the fingerprints a chain of links connects.
 
-    ``distinct`` has one column ``fp`` without repeats, ``count`` rows. A link joins
+    ``prints`` has one column ``fp`` without repeats, ``count`` rows. A link joins
     two fingerprints that differ in at most ``radius`` bits; ``radius`` is even.
     """
     flips = radius // 2
-    rows = distinct.select(
+    rows = prints.select(
         F.lit(0).cast("long").alias("bucket"), "fp", F.lit(flips).cast("byte").alias("left")
     )
     known, bits, found = 0, bucket_bits(count, flips), None
@@ -368,7 +376,8 @@ def one_of_each(docs: DataFrame, scratch: Scratch, radius: int = RADIUS) -> Data
         .agg(F.count(F.lit(1)).alias("_rows"))
     )
     chosen = scratch.table(chosen, "chosen", keep=True)
-    kept = docs.join(chosen, "doc_id").select(*[docs[c] for c in docs.columns], "_rows")
-    once = kept.where("_rows = 1").drop("_rows")
-    repeated = kept.where("_rows > 1").dropDuplicates(["doc_id"]).drop("_rows")
+    rows = docs.select(F.struct("*").alias("row")).withColumn("doc_id", F.col("row.doc_id"))
+    kept = rows.join(chosen, "doc_id")
+    once = kept.where("_rows = 1").select("row.*")
+    repeated = kept.where("_rows > 1").dropDuplicates(["doc_id"]).select("row.*")
     return once.unionByName(repeated).unionByName(docs.where("doc_id IS NULL"))
