@@ -40,7 +40,7 @@ FLANK = (SPAN - GRAM) // 2
 SECTION = 1 << 18
 #: Units of one anchor beyond which it is shuffled by windows, and the share of the
 #: documents from which such anchors are found (it affects the balance only).
-CROWDED = 200_000
+CROWDED = 100_000
 LOOKED_AT = 64
 
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F)
@@ -48,14 +48,13 @@ LOWEST = -(1 << 63)
 WHOLE = 1 << 64
 
 REPEAT, UNIT, CANDIDATE, TEXT = 0, 1, 2, 3
-UNITS = "kind byte, anchor long, whole long, before int, after int, doc long, start int, shape long"
+UNITS = "kind byte, anchor long, whole long, sides int, doc long, start int, shape long"
 UNIT_SCHEMA = pa.schema(
     [
         ("kind", pa.int8()),
         ("anchor", pa.int64()),
         ("whole", pa.int64()),
-        ("before", pa.int32()),
-        ("after", pa.int32()),
+        ("sides", pa.int32()),
         ("doc", pa.int64()),
         ("start", pa.int32()),
         ("shape", pa.int64()),
@@ -130,7 +129,12 @@ def sections(offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
 
 
 def find_units(data: np.ndarray, offsets: np.ndarray, crowded: np.ndarray) -> Iterator[list]:
-    """[document, start, windows, anchor place, anchor, whole, before, after] of each section's units."""
+    """[document, start, windows, anchor place, anchor, whole, sides] of each section's units.
+
+    ``sides`` holds 16 bits of the hash of the bytes around the anchor that all windows
+    with enough room before it share, and of those after it; 0 where no window has.
+    """
+    one = np.uint64(1)
     for doc, first, end in sections(offsets):
         lo = first[0]
         part = data[lo : end[-1] + SPAN - 1]
@@ -172,11 +176,15 @@ def find_units(data: np.ndarray, offsets: np.ndarray, crowded: np.ndarray) -> It
             at - begin,
             anchor.view(np.int64),
             whole.view(np.int64),
-            np.where(has_before, (before >> np.uint64(33)).astype(np.int64) + 1, 0),
-            np.where(has_after, (after >> np.uint64(33)).astype(np.int64) + 1, 0),
+            sides_of(np.where(has_before, before >> np.uint64(48) | one, 0))
+            | sides_of(np.where(has_after, after >> np.uint64(48) | one, 0)) << 16,
         ]
 
 
+def sides_of(h: np.ndarray) -> np.ndarray:
+    return h.astype(np.uint32).view(np.int32)
+
+
 def shape_of(windows: np.ndarray, place: np.ndarray, version: np.ndarray) -> np.ndarray:
     """Windows, anchor place and version of the text in one number."""
     return (version << 16) | (windows << 8) | place
@@ -187,11 +195,11 @@ def unshape(shape: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def versions(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """40 bits of a digest of each text: tells apart texts that share a doc_id."""
+    """24 bits of a digest of each text: tells apart texts that share a doc_id."""
     whole = data.tobytes()
     return np.fromiter(
         (
-            int.from_bytes(hashlib.blake2b(whole[a:b], digest_size=5).digest(), "little")
+            version_of(whole[a:b])
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())
         ),
         np.int64,
@@ -199,6 +207,34 @@ def versions(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     )
 
 
+def version_of(text: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(text, digest_size=3).digest(), "little")
+
+
+def joined_runs(doc, version, start, windows) -> list[np.ndarray]:
+    """Runs of windows as (doc, version, start, windows), with adjoining ones made one."""
+    if not len(doc):
+        return [doc, version, start, windows]
+    order = np.lexsort((start, version, doc))
+    doc, version, start, windows = (c[order] for c in (doc, version, start, windows))
+    new = group_starts(doc, version)
+    new[1:] |= start[1:] > start[:-1] + windows[:-1]
+    head = np.flatnonzero(new)
+    end = np.maximum.reduceat(start + windows, head)
+    return [doc[head], version[head], start[head], end - start[head]]
+
+
+def repeats(doc, version, start, windows) -> pa.RecordBatch:
+    """Rows for runs of repeated windows; ``whole`` has their number."""
+    doc, version, start, windows = joined_runs(doc, version, start, windows)
+    none = np.zeros(len(doc), np.int64)
+    spread = mixed(doc.view(np.uint64) ^ mixed(start.astype(np.uint64)))
+    return batch(
+        UNIT_SCHEMA, none + REPEAT, spread.view(np.int64), windows, none, doc, start,
+        shape_of(none, none, version),
+    )
+
+
 def group_starts(*keys: np.ndarray) -> np.ndarray:
     """True where a sorted row differs from the row before."""
     new = np.ones(len(keys[0]), bool)
@@ -236,23 +272,17 @@ class FindUnits:
             if not found:
                 continue
             version = versions(data, offsets)
-            doc, start, windows, place, anchor, whole, before, after = map(
-                np.concatenate, zip(*found)
-            )
+            doc, start, windows, place, anchor, whole, sides = map(np.concatenate, zip(*found))
             shape = shape_of(windows, place, version[doc])
             doc = ids[doc]
             order, later = later_ones(anchor, whole, doc, start, shape)
-            columns = [c[order] for c in (anchor, whole, before, after, doc, start, shape)]
+            columns = [c[order] for c in (anchor, whole, sides, doc, start, shape)]
+            if later.any():
+                gone = unshape(columns[5][later])
+                yield repeats(columns[3][later], gone[2], columns[4][later], gone[0])
             # the same unit of the same text twice: repeated rows
-            again = ~group_starts(columns[0], columns[1], *columns[4:])
-            keep = ~again
-            kind = np.where(later, REPEAT, UNIT)
-            # repeats are dealt evenly, units by anchor
-            spread = mixed(columns[4].view(np.uint64) ^ columns[5].astype(np.uint64))
-            columns[0] = np.where(later, spread.view(np.int64), columns[0])
-            for i in (1, 2, 3):
-                columns[i] = np.where(later, 0, columns[i])
-            yield batch(UNIT_SCHEMA, kind[keep], *(c[keep] for c in columns))
+            keep = group_starts(columns[0], columns[1], *columns[3:]) & ~later
+            yield batch(UNIT_SCHEMA, np.full(keep.sum(), UNIT, np.int8), *(c[keep] for c in columns))
 
 
 def sampled_anchors(batches: Batches) -> Batches:
@@ -279,24 +309,21 @@ def settle(batches: Batches) -> Batches:
             held.append([c[~done] for c in columns])
     if not held:
         return
-    kind, anchor, whole, before, after, doc, start, shape = (
-        np.concatenate(c) for c in zip(*held)
-    )
+    _, *columns = (np.concatenate(c) for c in zip(*held))
     held.clear()
-    order = np.argsort(anchor)
-    new = group_starts(anchor[order])
+    order = np.argsort(columns[0])
+    new = group_starts(columns[0][order])
     alone = new & np.append(new[1:], True)
-    order = order[~alone]
-    columns = [c[order] for c in (anchor, whole, before, after, doc, start, shape)]
-    order, later = later_ones(columns[0], columns[1], *columns[4:])
+    columns = [c[order[~alone]] for c in columns]
+    order, later = later_ones(columns[0], columns[1], *columns[3:])
     columns = [c[order] for c in columns]
-    gone = [c[later] for c in columns]
     if later.any():
-        yield batch(UNIT_SCHEMA, np.zeros(later.sum(), np.int8), *gone)
-    anchor, whole, before, after, doc, start, shape = (c[~later] for c in columns)
-    # differing units only: the first of each, versions of a document aside
+        windows, _, version = unshape(columns[5][later])
+        yield repeats(columns[3][later], version, columns[4][later], windows)
+    columns = [c[~later] for c in columns]
+    anchor, whole, sides = columns[:3]
     pick = np.zeros(len(anchor), bool)
-    for side in (before, after):
+    for side in (sides & 0xFFFF, sides >> 16):
         by = np.lexsort((whole, side, anchor))
         same = ~group_starts(anchor[by], side[by])
         differ = np.zeros(len(by), bool)
@@ -307,8 +334,7 @@ def settle(batches: Batches) -> Batches:
         marked[stretch[differ]] = True
         pick[by] |= marked[stretch] & (side[by] != 0)
     if pick.any():
-        out = [c[pick] for c in (anchor, whole, before, after, doc, start, shape)]
-        yield batch(UNIT_SCHEMA, np.full(pick.sum(), CANDIDATE, np.int8), *out)
+        yield batch(UNIT_SCHEMA, np.full(pick.sum(), CANDIDATE, np.int8), *(c[pick] for c in columns))
 
 
 # ---- suffix sort of the candidates ----
@@ -451,12 +477,7 @@ def compare(batches: Batches) -> Batches:
     unit, before = np.nonzero(flags)
     unit = order[unit]
     begin = start[unit] + place[unit] - before
-    yield batch(
-        pa.schema([("doc", pa.int64()), ("start", pa.int32()), ("shape", pa.int64())]),
-        doc[unit],
-        begin,
-        shape_of(np.ones(len(unit), np.int64), np.zeros(len(unit), np.int64), version[unit]),
-    )
+    yield repeats(doc[unit], version[unit], begin, np.ones(len(unit), np.int64))
 
 
 def binary_buffer(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -470,7 +491,7 @@ def binary_buffer(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 # ---- cutting ----
 
 DONE = (
-    "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, "
+    "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, "
     "spans array<struct<start:long,end:long>>"
 )
 OPEN = (
@@ -502,15 +523,15 @@ class Cut:
     out as it is, with its repeats so far and its candidates' bytes.
     """
 
-    def __init__(self, settled: bool, keep_text: bool, carried: pa.DataType | None) -> None:
-        self.settled, self.keep_text, self.carried = settled, keep_text, carried
+    def __init__(self, settled: bool, keep_text: bool) -> None:
+        self.settled, self.keep_text = settled, keep_text
 
     def __call__(self, batches: Batches) -> Batches:
         doc, runs, units = None, [], []
         for rows in batches:
             kind, docs = rows.column("kind").to_numpy(), rows.column("doc").to_numpy()
             start, shape = rows.column("start").to_numpy(), rows.column("shape").to_numpy()
-            anchor = rows.column("anchor").to_numpy()
+            anchor, whole = rows.column("anchor").to_numpy(), rows.column("whole").to_numpy()
             texts, earlier, carry, void = (
                 rows.column(n) for n in ("text", "runs", "carry", "no_id")
             )
@@ -522,9 +543,9 @@ class Cut:
                 if at < place and docs[at] != doc:
                     doc, runs, units = docs[at], [], []
                 if at < place:
-                    windows, rel, version = unshape(shape[at:place])
+                    version = unshape(shape[at:place])[2]
                     is_run = kind[at:place] == REPEAT
-                    block = np.stack([version, start[at:place], windows], 1).astype(np.int64)
+                    block = np.stack([version, start[at:place], whole[at:place]], 1)
                     runs.append(block[is_run])
                     if not is_run.all():
                         units.append(np.stack([version, anchor[at:place], start[at:place], shape[at:place]], 1)[~is_run])
@@ -542,7 +563,7 @@ class Cut:
         version = None
         own = np.zeros((0, 2), np.int64)
         if runs or units:
-            version = int.from_bytes(hashlib.blake2b(text, digest_size=5).digest(), "little")
+            version = version_of(text)
             if runs:
                 block = np.concatenate(runs)
                 own = block[block[:, 0] == version, 1:]
@@ -574,7 +595,7 @@ class Cut:
             int((spans[:, 1] - spans[:, 0]).sum()),
             len(spans),
             digest.hexdigest(),
-            b"".join(kept) if self.keep_text else None,
+            b"".join(kept).decode("utf-8", "ignore") if self.keep_text else None,
             [{"start": a, "end": b} for a, b in spans.tolist()] if self.keep_text else None,
             None,
             None,
@@ -583,7 +604,7 @@ class Cut:
 
     def rows(self, out: list, carry: pa.Array) -> pa.RecordBatch:
         kinds = [
-            pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), SPANS,
+            pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), SPANS,
             pa.binary(), pa.binary(), OPEN_UNITS,
         ]
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans", "text", "runs", "units"]
@@ -618,8 +639,8 @@ def remove_repeats(
 
     Earlier: in a smaller doc_id, or at a smaller place of the same doc_id; a null
     doc_id is the smallest. All is judged on the input. Columns: doc_id, n_bytes,
-    n_removed, n_spans, kept_sha256, kept (bytes) and spans (both null unless
-    ``keep_text``), and ``carry``, a struct of the named further columns. Null texts
+    n_removed, n_spans, kept_sha256 (of the remaining bytes), kept (their text, without
+    characters of which a part went) and spans (both null unless ``keep_text``), and ``carry``, a struct of the named further columns. Null texts
     are empty; texts under 100 bytes stay whole. Repeated rows get the same result
     each; rows that share a doc_id but not the text are versions of one document, and
     a string at a smaller place of either is the earlier one.
@@ -627,9 +648,15 @@ def remove_repeats(
     key = F.coalesce("doc_id", F.lit(LOWEST)).alias("doc")
     plain = docs.select("doc_id", "text")
     units = map_arrow(plain, FindUnits(crowded_anchors(plain)), UNITS)
+    is_candidate = F.col("kind") == CANDIDATE
     settled = scratch.table(
         map_arrow(units.repartition("anchor"), settle, UNITS).select(
-            "kind", "doc", "start", "shape", F.when(F.col("kind") == CANDIDATE, F.col("anchor")).otherwise(0).alias("anchor")
+            "kind",
+            "doc",
+            "start",
+            "shape",
+            F.when(is_candidate, F.col("anchor")).otherwise(0).alias("anchor"),
+            F.when(is_candidate, 0).otherwise(F.col("whole")).alias("whole"),
         ),
         "settled",
     )
@@ -641,6 +668,7 @@ def remove_repeats(
         F.lit(0).alias("start"),
         F.lit(0).cast("long").alias("shape"),
         F.lit(0).cast("long").alias("anchor"),
+        F.lit(0).cast("long").alias("whole"),
         F.col("doc_id").isNull().alias("no_id"),
         F.coalesce("text", F.lit("")).cast("binary").alias("text"),
         F.lit(None).cast("binary").alias("runs"),
@@ -652,7 +680,7 @@ def remove_repeats(
         schema = f"{DONE}{'' if settled else ', ' + OPEN}, carry {kind_of_carry}"
         return map_arrow(
             parts.repartition("doc").sortWithinPartitions("doc", "kind"),
-            Cut(settled, keep_text, None),
+            Cut(settled, keep_text),
             schema,
         )
 
@@ -661,22 +689,33 @@ def remove_repeats(
     candidates = opened.select("doc_id", F.explode("units").alias("u")).select(
         "u.anchor", key, "u.start", "u.shape", "u.bytes"
     )
-    more = map_arrow(candidates.repartition("anchor"), compare, "doc long, start int, shape long")
+    more = map_arrow(candidates.repartition("anchor"), compare, UNITS)
     rest = opened.select(
         F.lit(TEXT).cast("byte").alias("kind"),
         key,
         F.lit(0).alias("start"),
         F.lit(0).cast("long").alias("shape"),
         F.lit(0).cast("long").alias("anchor"),
+        F.lit(0).cast("long").alias("whole"),
         F.col("doc_id").isNull().alias("no_id"),
         "text",
         "runs",
         "carry",
     )
-    more = more.select(
-        F.lit(REPEAT).cast("byte").alias("kind"), "doc", "start", "shape",
-        F.lit(0).cast("long").alias("anchor"),
-    )
+    more = more.select("kind", "doc", "start", "shape", F.lit(0).cast("long").alias("anchor"), "whole")
     second = cut(more.unionByName(rest, True), True)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans", "carry"]
     return first.where("units IS NULL").select(*names).unionByName(second.select(*names))
+
+
+def without_repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows and columns of ``docs`` with ``text`` cut as ``remove_repeats`` says.
+
+    Null texts become empty. A long column ``n_chars`` is counted anew.
+    """
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    cut = remove_repeats(docs, scratch, carry=others)
+    made = {"doc_id": F.col("doc_id"), "text": F.col("kept")}
+    if dict(docs.dtypes).get("n_chars") == "bigint":
+        made["n_chars"] = F.length("kept").cast("long")
+    return cut.select(*[made.get(c, F.col(f"carry.`{c}`")).alias(c) for c in docs.columns])
