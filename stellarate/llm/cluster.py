@@ -18,6 +18,9 @@ from stellarate.session import scratch_path
 #: A key is dealt to several tasks when it has more than this share of the rows,
 #: so at most ``1 / HOT_SHARE`` keys are hot and their list may be broadcast.
 HOT_SHARE = 1 / 2000
+#: Bytes of a batch that goes to a Python worker, unless the session says otherwise.
+BATCH_BYTES = 8 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Rows of a hot key that one task should get.
 ROWS_PER_PART = 200_000
 
@@ -42,6 +45,8 @@ def ship(spark: SparkSession) -> None:
 
 def map_arrow(df: DataFrame, function: Callable[[Batches], Batches], schema: str) -> DataFrame:
     ship(df.sparkSession)
+    if df.sparkSession.conf.get(BATCH_SETTING, None) is None:
+        df.sparkSession.conf.set(BATCH_SETTING, str(BATCH_BYTES))
     return df.mapInArrow(function, schema)
 
 
@@ -113,6 +118,31 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole, offsets - offsets[0]
 
 
+#: Bytes of text that a task works on together; a longer text is worked on alone.
+TEXT_BYTES = 4 << 20
+
+
+def sliced(batches: Batches, text: int, limit: int = TEXT_BYTES) -> Batches:
+    """The rows of all batches in slices of at most ``limit`` bytes of the column ``text``."""
+    for rows in batches:
+        ends = np.cumsum(np.diff(text_buffer(rows.column(text))[1]))
+        at = 0
+        while at < rows.num_rows:
+            done = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, done + limit, "right")))
+            yield rows.slice(at, stop - at)
+            at = stop
+
+
+def segment_sums(mark: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sum of ``mark`` from each offset to the next."""
+    out = np.zeros(len(offsets) - 1, np.int64)
+    full = np.flatnonzero(np.diff(offsets))
+    if len(full):
+        out[full] = np.add.reduceat(mark, offsets[full], dtype=np.int64)
+    return out
+
+
 def values(column: pa.Array, missing: int) -> np.ndarray:
     """A long column as numpy, with ``missing`` for null."""
     return column.fill_null(missing).to_numpy(zero_copy_only=False)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stellarate.llm.cluster import Batches, map_arrow, text_buffer
+from stellarate.llm.cluster import Batches, map_arrow, sliced, text_buffer
 from stellarate.llm.words import WHITE, Words, shingles, text_shingles
 
 SIZE = 5
@@ -94,7 +94,7 @@ class Report:
 
     def __call__(self, batches: Batches) -> Batches:
         index = self.index.value
-        for rows in batches:
+        for rows in sliced(batches, 1):
             found = list(index.contained(rows.column(1)))
             if found:
                 row, item, count = (list(c) for c in zip(*found))
@@ -116,7 +116,7 @@ class Drop:
         self.index, self.text = index, text
 
     def __call__(self, batches: Batches) -> Batches:
-        for rows in batches:
+        for rows in sliced(batches, self.text):
             keep = np.ones(rows.num_rows, bool)
             keep[[row for row, _, _ in self.index.value.contained(rows.column(self.text))]] = False
             yield rows.filter(pa.array(keep))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stellarate.llm.cluster import Batches, map_arrow, text_buffer
+from stellarate.llm.cluster import Batches, map_arrow, sliced, text_buffer
 from stellarate.llm.words import LOWER, NOT_ALPHANUMERIC, WHITE, Words, word_hash
 
 CONTAINMENT = 0.9
@@ -146,7 +146,7 @@ def count_words(batches: Batches) -> Batches:
     """(place in the vocabulary, occurrences) of a task's documents."""
     hashes, order = hashed(vocabulary())
     counts = np.zeros(len(order), np.int64)
-    for rows in batches:
+    for rows in sliced(batches, 0):
         data, offsets = text_buffer(rows.column(0))
         _, at = template_words(Words(data, offsets, NOT_ALPHANUMERIC, lower=True), hashes)
         counts += np.bincount(order[at], minlength=len(order))
@@ -196,7 +196,7 @@ class Scan:
         by_rank = sorted(self.rank, key=self.rank.get)
         hashes, order = hashed(by_rank)
         joins = [Join(NOTICES, self.rank), Join(PASSAGES, self.rank)]
-        for rows in batches:
+        for rows in sliced(batches, 1):
             data, offsets = text_buffer(rows.column(1))
             words = Words(data, offsets, NOT_ALPHANUMERIC, lower=True)
             texts = len(words.counts)

@@ -106,10 +106,10 @@ def ruled(table: str) -> str:
 OP6 = f"""
 WITH RECURSIVE page AS (SELECT *, CASE WHEN rest != '' THEN host || path || query END AS node
     FROM (SELECT page_id, html, {parts("coalesce(url, '')")} FROM pages)),
-link AS (SELECT host, path, node, unnest([
+link AS (SELECT host, path, node, replace(unnest([
     regexp_extract(html, '(?i)<link[^>]*rel=.?canonical[^>]*href=["'']?([^"''\\s>]+)', 1),
     regexp_extract(html, '(?i)<link[^>]*href=["'']?([^"''\\s>]+)[^>]*rel=.?canonical', 1),
-    regexp_extract(html, '(?i)<meta[^>]*http-equiv=.?refresh[^>]*url=([^"''\\s>]+)', 1)]) AS l
+    regexp_extract(html, '(?i)<meta[^>]*http-equiv=.?refresh[^>]*url=([^"''\\s>]+)', 1)]), '&amp;', '&') AS l
     FROM page WHERE node IS NOT NULL),
 target AS (SELECT node AS a, CASE WHEN contains(l, '://') THEN l
     WHEN starts_with(l, '//') THEN 'http:' || l

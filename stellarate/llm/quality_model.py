@@ -14,7 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stellarate.llm.cluster import Batches, Scratch, map_arrow, text_buffer
+from stellarate.llm.cluster import (
+    Batches,
+    Scratch,
+    map_arrow,
+    segment_sums,
+    sliced,
+    text_buffer,
+)
 from stellarate.llm.words import LOWER, WHITE, Words, table
 
 THRESHOLD = 0.3
@@ -46,10 +53,10 @@ def statistics(column: pa.Array) -> np.ndarray:
     size, count = np.diff(offsets), words.counts
 
     def per_text(mark: np.ndarray) -> np.ndarray:
-        return np.diff(np.append(0, np.cumsum(mark, dtype=np.int64))[offsets])
+        return segment_sums(mark, offsets)
 
     def per_word(mark: np.ndarray) -> np.ndarray:
-        return np.diff(np.append(0, np.cumsum(mark, dtype=np.int64))[words.first])
+        return segment_sums(mark, words.first)
 
     def bytes_in(kind: np.ndarray) -> np.ndarray:
         return per_text(kind[data])
@@ -59,7 +66,8 @@ def statistics(column: pa.Array) -> np.ndarray:
     upper = bytes_in(UPPER)
     begin, end = words.starts, words.ends
     uppers = np.append(0, np.cumsum(UPPER[data], dtype=np.int32))
-    shouted = (uppers[end] - uppers[begin] >= 2) & (uppers[end] - uppers[begin] >= (end - begin) / 2)
+    uppers = uppers[end] - uppers[begin]
+    shouted = (uppers >= 2) & (uppers >= (end - begin) / 2)
     # distinct words: sort (text, hash) in one number and count the changes
     key = (words.doc.astype(np.uint64) << np.uint64(40)) | (words.hashes >> np.uint64(24))
     key.sort()
@@ -97,7 +105,7 @@ class Measure:
     """Adds the statistics of each text as a list."""
 
     def __call__(self, batches: Batches) -> Batches:
-        for rows in batches:
+        for rows in sliced(batches, 1):
             found = statistics(rows.column(1))
             flat = pa.array(found.ravel())
             steps = np.arange(0, found.size + 1, found.shape[1]).astype(np.int32)
@@ -216,7 +224,7 @@ class Accept:
         self.model, self.text, self.threshold = model, text, threshold
 
     def __call__(self, batches: Batches) -> Batches:
-        for rows in batches:
+        for rows in sliced(batches, self.text):
             score = self.model.score(statistics(rows.column(self.text)))
             yield rows.filter(pa.array(score >= self.threshold))
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stellarate.llm.cluster import Batches, map_arrow, text_buffer
+from stellarate.llm.cluster import Batches, map_arrow, segment_sums, sliced, text_buffer
 from stellarate.llm.quality_model import ODD
 from stellarate.llm.words import WHITE, Words, shingle_hashes, table
 
@@ -37,7 +37,7 @@ def base_counts(data: np.ndarray, offsets: np.ndarray, words: Words) -> list[np.
     """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each text."""
 
     def per_text(mark: np.ndarray) -> np.ndarray:
-        return np.diff(np.append(0, np.cumsum(mark, dtype=np.int64))[offsets])
+        return segment_sums(mark, offsets)
 
     lines = Words(data, offsets, LINE_END, lower=False)
     inner = np.append(0, np.cumsum(~WHITE[data], dtype=np.int64))
@@ -99,7 +99,7 @@ class CountBuckets:
 
     def __call__(self, batches: Batches) -> Batches:
         raw, target = (np.zeros(1 << BITS, np.int64) for _ in range(2))
-        for rows in batches:
+        for rows in sliced(batches, 1):
             data, offsets = text_buffer(rows.column(1))
             bucket, doc = ngram_buckets(Words(data, offsets, WHITE, lower=False))
             ids = rows.column(0).fill_null(-1).to_numpy()
@@ -153,7 +153,7 @@ class Judge:
 
     def __call__(self, batches: Batches) -> Batches:
         ratios = self.ratios.value
-        for rows in batches:
+        for rows in sliced(batches, 1):
             data, offsets = text_buffer(rows.column(1))
             words = Words(data, offsets, WHITE, lower=False)
             counts = base_counts(data, offsets, words)

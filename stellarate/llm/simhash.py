@@ -32,6 +32,7 @@ from stellarate.llm.cluster import (
     join_unique,
     map_arrow,
     pieces,
+    sliced,
 )
 from stellarate.llm.components import components
 
@@ -94,7 +95,7 @@ def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def _fingerprints(batches: Batches) -> Batches:
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
-    for rows in batches:
+    for rows in sliced(batches, 1):
         hashes = [shingle_hashes(t.as_py()) for t in rows.column(1)]
         counts = np.fromiter(map(len, hashes), np.int64, len(hashes))
         flat = np.fromiter((h for own in hashes for h in own), np.uint64, counts.sum())

@@ -17,7 +17,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stellarate.llm.cluster import Batches, Scratch, distinct, map_arrow
+from stellarate.llm.cluster import Batches, Scratch, distinct, map_arrow, sliced
 from stellarate.llm.suffixes import BASES, mixed, powers
 
 THRESHOLD = 0.7
@@ -113,7 +113,7 @@ def count_features(batches: Batches) -> Batches:
     """(label, feature, n): labelled texts that have a feature; feature -1 counts the texts."""
     schema = pa.schema([("label", pa.int32()), ("feature", pa.int32()), ("n", pa.int64())])
     totals = {}
-    for rows in batches:
+    for rows in sliced(batches, 1):
         label = rows.column(0).to_numpy()
         row, feature = present(rows.column(1), None)
         for y in (0, 1):
@@ -137,7 +137,7 @@ class KeepChosen:
     def __call__(self, batches: Batches) -> Batches:
         mask = np.zeros(1 << BITS, bool)
         mask[self.chosen] = True
-        for rows in batches:
+        for rows in sliced(batches, 1):
             row, feature = present(rows.column(1), mask)
             place = np.searchsorted(self.chosen, feature).astype(np.int32)
             steps = np.searchsorted(row, np.arange(rows.num_rows + 1)).astype(np.int32)
@@ -235,7 +235,7 @@ class Score:
         table, mask = np.zeros(1 << BITS), np.zeros(1 << BITS, bool)
         table[self.model.chosen] = self.model.weights
         mask[self.model.chosen] = True
-        for rows in batches:
+        for rows in sliced(batches, 1):
             score = self.model.score(rows.column(1), table, mask)
             yield pa.RecordBatch.from_arrays(
                 [rows.column(0), pa.array(score)], names=["doc_id", "score"]
