@@ -8,18 +8,20 @@ punctuation. Everything else goes to the tokenizer as it stands.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words kept; beyond it a new word is encoded once per batch and forgotten.
-MOST_WORDS = 300_000
-MOST_PARTS = 400_000
+MOST_WORDS = 400_000
+MOST_PARTS = 800_000
 #: Characters looked at together.
-CHARACTERS = 1 << 20
+CHARACTERS = 1 << 22
 
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 PLAIN = re.compile(rf"([{LETTERS}]+)([!-&(-/:-@\[-`{{-~]*)")
@@ -40,19 +42,23 @@ class WordEncoder:
         found = self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def learn(self, words: set[str]) -> dict[str, bytes]:
+    def learn(self, words: list[str]) -> dict[str, bytes]:
         """Ids of words that are not kept yet."""
-        plain, other = {}, []
+        plain, other, parts, new = [], [], self.parts, {}
         for word in words:
             match = PLAIN.fullmatch(word)
             if match:
-                plain[word] = (match[1].lower(), match[2])
+                letters, mark = match[1].lower(), match[2]
+                plain.append((word, letters, mark))
+                if letters not in parts:
+                    new[letters] = None
+                if mark not in parts:
+                    new[mark] = None
             else:
                 other.append(word)
-        parts = self.parts
-        new = list({p for pair in plain.values() for p in pair} - parts.keys())
+        new = list(new)
         parts.update(zip(new, self.encode_each(new)))
-        known = {word: parts[a] + parts[b] for word, (a, b) in plain.items()}
+        known = {word: parts[letters] + parts[mark] for word, letters, mark in plain}
         known.update(zip(other, self.encode_each(other)))
         if len(parts) > MOST_PARTS:
             for part in new:
@@ -62,30 +68,51 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
         out: list[list[bytes]] = [[] for _ in texts]
-        held: list[tuple[int, list[str]]] = []
+        held: list[tuple[int, str]] = []
         size = 0
         for place, text in enumerate(texts):
             for part in stretches(text):
-                held.append((place, part.replace("\n", " ").split(" ")))
-                size += len(part)
-                if size > CHARACTERS:
+                if size + len(part) > CHARACTERS and held:
                     self.look_up(held, out)
                     held, size = [], 0
-        self.look_up(held, out)
+                held.append((place, part))
+                size += len(part)
+        if held:
+            self.look_up(held, out)
         return [ids[0] if len(ids) == 1 else b"".join(ids) for ids in out]
 
-    def look_up(self, held: list[tuple[int, list[str]]], out: list[list[bytes]]) -> None:
-        words = self.words
-        seen: set[str] = set()
-        for _, part in held:
-            seen.update(part)
-        new = self.learn(seen - words.keys())
-        words.update(new)
-        for place, part in held:
-            out[place].append(b"".join(map(words.__getitem__, part)))
-        if len(words) > MOST_WORDS:
-            for word in new:
-                del words[word]
+    def look_up(self, held: list[tuple[int, str]], out: list[list[bytes]]) -> None:
+        """Finds the distinct words of some texts, and puts their ids in the texts' order."""
+        texts = pa.array([part for _, part in held], pa.large_string())
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        words = self.ids_of(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) >> 2
+        blob = np.frombuffer(b"".join(words), "<u4")
+        index = coded.indices.to_numpy()
+        count = sizes[index]
+        end = np.cumsum(count)
+        begin = (np.cumsum(sizes) - sizes)[index]
+        ids = blob[np.repeat(begin - end + count, count) + np.arange(count.sum())]
+        ends = np.append(0, end)[split.offsets.to_numpy()].tolist()
+        for (place, _), a, b in zip(held, ends[:-1], ends[1:]):
+            out[place].append(ids[a:b].tobytes())
+
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        # what is made here has no cycles, and the collector would walk all kept words
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            kept = self.words
+            found = list(map(kept.get, words))
+            new = [word for word, ids in zip(words, found) if ids is None]
+            learnt = self.learn(new)
+            if len(kept) + len(learnt) <= MOST_WORDS:
+                kept.update(learnt)
+            return [learnt[w] if ids is None else ids for w, ids in zip(words, found)]
+        finally:
+            if collecting:
+                gc.enable()
 
 
 def stretches(text: str) -> Iterator[str]:
@@ -114,7 +141,7 @@ def encode_column(path: str, column: pa.Array, end_id: int) -> Iterator[bytes]:
     """Ids of every text of a column, in turn; null is empty; ``end_id`` ends each."""
     end = np.array([end_id], "<u4").tobytes()
     own = encoder(path)
-    for at in range(0, len(column), 256):
-        some = column.slice(at, 256).fill_null("").to_pylist()
+    for at in range(0, len(column), 4096):
+        some = column.slice(at, 4096).fill_null("").to_pylist()
         for ids in own.encode(some):
             yield ids + end
