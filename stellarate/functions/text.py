@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,22 +31,6 @@ CONTRACTIONS = {
     "wasn't": "was not",
 }
 
-# Spark's default English stop words.
-ENGLISH_STOP_WORDS = (
-    "i me my myself we our ours ourselves you your yours yourself yourselves he him "
-    "his himself she her hers herself it its itself they them their theirs themselves "
-    "what which who whom this that these those am is are was were be been being have "
-    "has had having do does did doing a an the and but if or because as until while of "
-    "at by for with about against between into through during before after above below "
-    "to from up down in out on off over under again further then once here there when "
-    "where why how all any both each few more most other some such no nor not only own "
-    "same so than too very s t can will just don should now i'll you'll he'll she'll "
-    "we'll they'll i'd you'd he'd she'd we'd they'd i'm you're he's she's it's we're "
-    "they're i've we've you've they've isn't aren't wasn't weren't haven't hasn't "
-    "hadn't don't doesn't didn't won't wouldn't shan't shouldn't mustn't can't couldn't "
-    "cannot could here's how's let's ought that's there's what's when's where's who's "
-    "why's would"
-).split()
 
 # A run of anything but whitespace: Unicode white space and four control characters.
 NOT_SPACE = r"(?U)[^\s\x1c-\x1f]+"
@@ -89,8 +74,12 @@ def tokenize(text: Column) -> Column:
 
 
 def remove_stop_words(words: Column, stop_words: list[str] | None = None) -> Column:
-    """The tokens which are no stop words in any letter case; duplicates stay."""
-    listed = [word.lower() for word in (stop_words or ENGLISH_STOP_WORDS)]
+    """The tokens which are no stop words in any letter case; duplicates stay.
+
+    By default the stop words are Spark's own English ones.
+    """
+    default = StopWordsRemover.loadDefaultStopWords
+    listed = [word.lower() for word in (stop_words or default("english"))]
     return F.filter(words, lambda word: ~F.lower(word).isin(listed))
 
 

@@ -42,7 +42,21 @@ def last_rows(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
 
 
 def _values(df: DataFrame, column: str) -> DataFrame:
-    return drop_incomplete_rows(df, [column]).select(F.col(column).cast("double").alias("x"))
+    known = drop_incomplete_rows(df, [column])
+    return known.select(F.col(f"`{column}`").cast("double").alias("x"))
+
+
+def _finite(df: DataFrame, column: str) -> DataFrame:
+    """The finite values: an infinity has no place in bins of equal width."""
+    return _values(df, column).where(F.abs("x") != F.lit(float("inf")))
+
+
+def infinite_counts(df: DataFrame, column: str) -> DataFrame:
+    """One row (below, above): values of minus and plus infinity, which histograms leave out."""
+    inf = F.lit(float("inf"))
+    return _values(df, column).agg(
+        F.count_if(F.col("x") == -inf).alias("below"), F.count_if(F.col("x") == inf).alias("above")
+    )
 
 
 def _limits(values: DataFrame, *names: str) -> list[tuple[float, float]]:
@@ -91,8 +105,8 @@ def _bin_row(lo: float, hi: float, bins: int) -> list[Column]:
 
 
 def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
-    """Equal-width histogram: (bin, lower, upper, count), empty bins included."""
-    values = _values(df, column)
+    """Equal-width histogram of the finite values: (bin, lower, upper, count), empty bins included."""
+    values = _finite(df, column)
     [(lo, hi)] = _limits(values, "x")
     every_bin = df.sparkSession.range(bins, numPartitions=1).withColumnRenamed("id", "bin")
     joined = every_bin.join(_binned(values, lo, hi, bins), "bin", "left")
@@ -121,20 +135,24 @@ def histogram_of_edges(df: DataFrame, column: str, edges: Sequence[float]) -> Da
     )
 
 
-def automatic_histogram(df: DataFrame, column: str) -> DataFrame:
+def automatic_histogram(df: DataFrame, column: str, empty_bins: bool = False) -> DataFrame:
     """Histogram whose bin width is the smaller of the Sturges and the
     Freedman-Diaconis width (Sturges alone where the quartiles coincide).
 
-    Empty bins are left out: with far outliers there can be very many.
+    Of the finite values. Empty bins are left out unless ``empty_bins`` is set: with
+    far outliers there can be very many.
     """
-    values = _values(df, column)
+    values = _finite(df, column)
     [(lo, hi)] = _limits(values, "x")
-    box = ValueCounts(df, [column]).quantiles([0.25, 0.75]).first()
+    box = ValueCounts(values, ["x"]).quantiles([0.25, 0.75]).first()
     if box is None:
         return _binned(values, lo, hi, 1).select(*_bin_row(lo, hi, 1))
     steps = [(hi - lo) / (log2(box["n"]) + 1), 2 * (box["q1"] - box["q0"]) / box["n"] ** (1 / 3)]
     bins = ceil((hi - lo) / min(step for step in steps if step > 0))
-    return _binned(values, lo, hi, bins).select(*_bin_row(lo, hi, bins))
+    counts = _binned(values, lo, hi, bins)
+    if empty_bins:
+        counts = df.sparkSession.range(bins).toDF("bin").join(counts, "bin", "left")
+    return counts.select(*_bin_row(lo, hi, bins))
 
 
 def _box(value: Column, low: Column, high: Column, n: Column, q1: Column, q3: Column) -> list[Column]:

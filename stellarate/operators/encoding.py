@@ -23,11 +23,28 @@ def category_index(df: DataFrame, column: str, output: str) -> DataFrame:
 
 
 def index_categories(
-    df: DataFrame, column: str, output: str, spread: list[str] | None = None
+    df: DataFrame,
+    column: str,
+    output: str,
+    spread: list[str] | None = None,
+    handle_null: str = "skip",
 ) -> DataFrame:
-    """Add the index of each row's category; rows without one are left out."""
+    """Add the index of each row's category.
+
+    ``handle_null``: rows without a category are left out (``skip``), get the index
+    after the last (``keep``) or make the call fail (``error``).
+    """
+    if handle_null not in ("skip", "keep", "error"):
+        raise ValueError(f"handle_null: {handle_null}")
+    empty = df.where(F.col(column).isNull())
+    if handle_null == "error" and empty.limit(1).count():
+        raise ValueError(f"{column} has rows without a category")
     index = category_index(df, column, output).drop("count")
-    return join_dimension(df, index, column, spread)
+    indexed = join_dimension(df, index, column, spread)
+    if handle_null != "keep":
+        return indexed
+    last = float(index.count())
+    return indexed.unionByName(empty.withColumn(output, F.lit(last)))
 
 
 def min_max(df: DataFrame, column: str, output: str) -> DataFrame:

@@ -37,16 +37,22 @@ def confusion_matrix(
     prediction: str = "prediction",
     weight: str | None = None,
 ) -> DataFrame:
-    """Rows per label with the counts of both predictions, also if one never occurs."""
+    """Rows per label with the counts of both predictions, also if one never occurs.
+
+    Rows without a label are left out, as they are in the metrics.
+    """
     counts = (
-        scored.withColumn("_n", _weight(weight))
+        scored.where(F.col(label).isNotNull())
+        .withColumn("_n", _weight(weight))
         .groupBy(F.col(label).cast("double").alias("label"))
         .pivot(prediction, [0.0, 1.0])
         .agg(F.sum("_n"))
-        .na.fill(0)
     )
+    none = F.lit(0).cast("bigint")
     return counts.select(
-        "label", F.col("`0.0`").alias("predicted_0"), F.col("`1.0`").alias("predicted_1")
+        "label",
+        F.coalesce(F.col("`0.0`"), none).alias("predicted_0"),
+        F.coalesce(F.col("`1.0`"), none).alias("predicted_1"),
     )
 
 

@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Measured size, and rows, of a dimension up to which it is broadcast.
 BROADCAST_BYTES = 10 << 20
+BROADCAST_ROWS = 200_000
 HOT_SHARE = 0.001
-SALTS = 32
-
-
-def plan_bytes(df: DataFrame) -> int:
-    """Spark's own size estimate of a frame, from its optimized plan."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+#: Fact rows of one key that one task should get.
+ROWS_PER_PART = 1_000_000
 
 
 def join_dimension(
@@ -21,29 +19,57 @@ def join_dimension(
     key: str,
     spread: list[str] | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
+    rows_per_part: int = ROWS_PER_PART,
 ) -> DataFrame:
     """Inner join on ``key``, which is unique in ``dimension``.
 
-    A dimension whose estimated size is within ``broadcast_bytes`` is broadcast.
-    Otherwise both sides are shuffled, and keys holding more than ``HOT_SHARE``
-    of the fact rows are salted: ``spread`` (columns that tell fact rows apart,
-    all of them by default) deals a hot key's rows to ``SALTS`` parts, and the
-    dimension's row for that key is repeated for each part.
+    A dimension of at most ``BROADCAST_ROWS`` rows and ``broadcast_bytes``, which are
+    measured first, is broadcast. Otherwise both sides are shuffled, and keys with more than ``HOT_SHARE`` of the
+    fact rows and more than ``rows_per_part`` rows are dealt to as many parts as
+    their rows ask for; the dimension's row is repeated for each part. ``spread``
+    names columns that tell fact rows apart: all that can be hashed by default.
     """
-    if plan_bytes(dimension) <= broadcast_bytes:
+    if broadcast_bytes and fits(dimension, broadcast_bytes):
         return fact.join(F.broadcast(dimension), key)
-    counts = fact.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_total")).scalar()
-    # At most 1 / HOT_SHARE keys can pass this test, which bounds the broadcast.
-    hot = counts.where(F.col("_n") > total * F.lit(HOT_SHARE)).select(
-        key, F.lit(True).alias("_hot")
+    hot = F.broadcast(hot_keys(fact, key, rows_per_part))
+    return dealt(fact, hot, key, spread).join(repeated(dimension, hot, key), [key, "_salt"]).drop("_salt")
+
+
+def fits(dimension: DataFrame, most_bytes: int) -> bool:
+    """Whether a table is small, by its rows and the length of their JSON."""
+    length = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in dimension.columns])))
+    seen = dimension.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.sum(length)).first()
+    return seen[0] <= BROADCAST_ROWS and (seen[1] or 0) <= most_bytes
+
+
+def hot_keys(fact: DataFrame, key: str, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+    """(key, _parts) of the hot keys: at most 1 / HOT_SHARE rows, found once."""
+    counts = fact.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total = fact.count()
+    found = counts.where(F.col("_n") > max(int(total * HOT_SHARE), rows_per_part)).select(
+        key, F.ceil(F.col("_n") / rows_per_part).cast("int").alias("_parts")
     )
-    part = F.pmod(F.xxhash64(*(spread or fact.columns)), F.lit(SALTS)).cast("int")
-    every_part = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    salted_fact = fact.join(F.broadcast(hot), key, "left").withColumn(
-        "_salt", F.coalesce(F.when(F.col("_hot"), part), F.lit(0))
+    rows = found.collect()
+    return fact.sparkSession.createDataFrame(rows, found.schema)
+
+
+def dealt(fact: DataFrame, hot: DataFrame, key: str, spread: list[str] | None = None) -> DataFrame:
+    """``fact`` with ``_salt``: the part a row of a hot key goes to, 0 for other keys."""
+    columns = spread or [n for n, kind in fact.dtypes if "map<" not in kind and kind != "variant"]
+    # a null in one column does not bring rows together as long as others differ
+    part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in columns]), F.col("_parts")).cast("int")
+    return (
+        fact.join(hot, key, "left")
+        .withColumn("_salt", F.coalesce(part, F.lit(0)))
+        .drop("_parts")
     )
-    salted_dimension = dimension.join(F.broadcast(hot), key, "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), every_part).otherwise(F.array(F.lit(0))))
+
+
+def repeated(dimension: DataFrame, hot: DataFrame, key: str) -> DataFrame:
+    """``dimension`` with a row for each part of a hot key."""
+    last = F.coalesce("_parts", F.lit(1)) - 1
+    return (
+        dimension.join(hot, key, "left")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), last)))
+        .drop("_parts")
     )
-    return salted_fact.drop("_hot").join(salted_dimension.drop("_hot"), [key, "_salt"]).drop("_salt")

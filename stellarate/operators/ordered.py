@@ -21,7 +21,7 @@ from stellarate.operators.columns import drop_incomplete_rows
 from stellarate.session import checkpointed
 
 ROWS_PER_BUCKET = 1_000_000
-MOST_BUCKETS = 8192
+MOST_POINTS = 8192
 CUT_POINT_ROWS = 2_000_000
 
 
@@ -31,17 +31,47 @@ def cut_points(df: DataFrame, value: str) -> list[float]:
     They decide how well the buckets balance and nothing else: any cut points
     give the same result. So on big inputs they come from a sample, which keeps
     the sketch that one task has to merge small.
+
+    One sketch gives at most ``MOST_POINTS`` points. Where that leaves buckets with
+    several times too many rows, each of those is cut again by a sketch of its own.
     """
     rows = df.count()
-    buckets = min(MOST_BUCKETS, ceil(rows / ROWS_PER_BUCKET))
-    if buckets <= 1:
+    wanted = ceil(rows / ROWS_PER_BUCKET)
+    if wanted <= 1:
         return [0.0]
-    part = df.select(value)
+    buckets = min(MOST_POINTS, wanted)
+    part = df.select(F.col(f"`{value}`").alias("_v"))
     if rows > CUT_POINT_ROWS:
         part = part.sample(CUT_POINT_ROWS / rows, seed=1)
     shares = [number / buckets for number in range(1, buckets)]
-    points = part.agg(F.percentile_approx(value, shares, 10 * buckets)).first()[0]
-    return sorted(set(points or [0.0]))
+    points = part.agg(F.percentile_approx("_v", shares, 10 * buckets)).first()[0]
+    points = sorted(set(points or [0.0]))
+    return finer_points(df, value, points) if wanted > buckets else points
+
+
+def finer_points(df: DataFrame, value: str, points: Sequence[float]) -> list[float]:
+    """``points`` and further ones inside the buckets that have too many rows.
+
+    A bucket that holds a single value cannot be cut and does not need to be: its
+    rows become one.
+    """
+    dealt = in_buckets(df.select(F.col(f"`{value}`").alias("_v")), "_v", points)
+    sizes = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("_v"), F.max("_v"))
+    full = sizes.where((F.col("n") > 2 * ROWS_PER_BUCKET) & (F.col("min(_v)") < F.col("max(_v)")))
+    most = full.agg(F.max("n")).first()[0]
+    if most is None:
+        return list(points)
+    # the same number of points for all of them, so that one aggregate finds all
+    number = min(MOST_POINTS, ceil(most / ROWS_PER_BUCKET))
+    shares = [i / number for i in range(1, number)]
+    inside = (
+        dealt.join(F.broadcast(full.select("bucket")), "bucket", "left_semi")
+        .groupBy("bucket")
+        .agg(F.percentile_approx("_v", shares, 10 * number).alias("found"))
+        .select(F.explode("found").alias("point"))
+        .distinct()
+    )
+    return sorted({*points, *[row.point for row in inside.collect()]})
 
 
 def in_buckets(df: DataFrame, value: str, points: Sequence[float]) -> DataFrame:
@@ -60,7 +90,7 @@ def bucket_offsets(
 ) -> DataFrame:
     """Per key and bucket and measure: ``in_``, ``before_`` and ``total_`` sums.
 
-    The windows run over one row per bucket, so at most ``MOST_BUCKETS`` rows a key.
+    The windows run over one row per bucket: one for ``ROWS_PER_BUCKET`` rows a key.
     """
     sums = bucketed.groupBy(*keys, "bucket").agg(
         *[F.sum(m).alias(f"in_{m}") for m in measures]
@@ -92,7 +122,7 @@ def stacked(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> Da
     if len(columns) == 1:
         # With a plain filter on the one column, the scan can skip its nulls.
         return drop_incomplete_rows(df, list(columns)).select(
-            *by, F.lit(columns[0]).alias("column"), F.col(columns[0]).cast("double").alias("value")
+            *by, F.lit(columns[0]).alias("column"), F.col(f"`{columns[0]}`").cast("double").alias("value")
         )
     doubles = df.select(*by, *[known(df, name).alias(name) for name in columns])
     long = doubles.unpivot(list(by), list(columns), "column", "value")

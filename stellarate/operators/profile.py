@@ -65,16 +65,49 @@ def row_digest(df: DataFrame) -> Column:
 
     Rows are compared by these 32 bytes, so that long texts are not shuffled.
     """
-    columns = []
-    for field in df.schema:
-        column = F.col(f"`{field.name}`")
-        if is_floating(field.dataType):
-            column = column + F.lit(0.0)  # -0.0 and 0.0 are the same value
-        columns.append(column.alias(field.name))
+    columns = [
+        exact(F.col(f"`{field.name}`"), field.dataType).alias(field.name) for field in df.schema
+    ]
     text = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
     return F.unhex(F.sha2(text, 256))
 
 
+def exact(column: Column, kind: T.DataType) -> Column:
+    """``column`` such that its JSON tells apart all values that differ, and no others.
+
+    JSON cuts timestamps to milliseconds, so they go as microseconds; -0.0 goes as
+    0.0; binaries as base64; the entries of a map are sorted by key.
+    """
+    if is_floating(kind):
+        return column + F.lit(0.0)
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(column)
+    if isinstance(kind, T.TimestampNTZType):
+        return column.cast("string")
+    if isinstance(kind, T.BinaryType):
+        return F.base64(column)
+    if isinstance(kind, T.StructType):
+        fields = [exact(column.getField(f.name), f.dataType).alias(f.name) for f in kind]
+        return F.when(column.isNotNull(), F.struct(*fields))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(column, lambda item: exact(item, kind.elementType))
+    if isinstance(kind, T.MapType):
+        entries = F.transform(
+            F.map_entries(column),
+            lambda entry: F.struct(
+                exact(entry["key"], kind.keyType).alias("key"),
+                exact(entry["value"], kind.valueType).alias("value"),
+            ),
+        )
+        return F.array_sort(
+            entries,
+            lambda a, b: F.when(F.to_json(a) < F.to_json(b), -1)
+            .when(F.to_json(a) > F.to_json(b), 1)
+            .otherwise(0),
+        )
+    return column
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows beyond the first of each set of equal rows."""
     copies = df.groupBy(row_digest(df).alias("digest")).agg(F.count(F.lit(1)).alias("n"))
@@ -100,6 +133,10 @@ def _statistic(
         return no_number, extremes[stat](column).cast("string") if stat in extremes else no_text
     number = known(df, name)
     if stat in extremes:
+        if isinstance(kind, (T.LongType, T.DecimalType)):
+            # a double cannot hold all of them; the text is exact
+            value = extremes[stat](column)
+            return value.cast("double"), value.cast("string")
         return extremes[stat](number), no_text
     if stat == "mean":
         return F.avg(number), no_text
@@ -132,7 +169,7 @@ def summary(df: DataFrame, columns: Sequence[str], stats: Sequence[str]) -> Data
     """Long table (column, stat, value, text) of chosen statistics, in one pass.
 
     Strings have count, min and max (in ``text``); their other statistics are
-    null. A statistic like ``25%`` is an approximate quantile.
+    null. Extremes of long and decimal columns stand in ``text`` as well, exactly. A statistic like ``25%`` is an approximate quantile.
     """
     cells = _cells(df, columns, stats)
     return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))

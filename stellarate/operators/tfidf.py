@@ -6,39 +6,51 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stellarate.functions.text import term_counts
+from stellarate.sources.tables import stored
 
-SALTS = 16
+#: Rows of one token that one task should get.
+ROWS_PER_PART = 1_000_000
 
 
-def token_tfidf(df: DataFrame, key: str, words: Column, min_doc_freq: int = 1) -> DataFrame:
+def token_tfidf(
+    df: DataFrame,
+    key: str,
+    words: Column,
+    scratch: str,
+    min_doc_freq: int = 1,
+    rows_per_part: int = ROWS_PER_PART,
+) -> DataFrame:
     """(key, token, tf, df, idf, tfidf) for each distinct token of each row.
 
     idf = ln((rows + 1) / (df + 1)), and 0 for tokens in fewer than
     ``min_doc_freq`` rows.
 
-    Term counts are made within the row, so the pairs are shuffled once only,
-    for the join with the document frequencies. As a common token occurs in
-    nearly every row, that join is on the token and a salt from the key; the
-    far smaller vocabulary is repeated for the salts a token occurs with.
-    Document frequencies are combined before they are shuffled.
+    The texts are tokenised once: the term counts of each row are written to the
+    folder ``scratch``. Document frequencies come from the narrow pairs, combined before
+    they are shuffled. A token in many rows is dealt to as many parts as its frequency
+    asks for, and its weight is repeated for each of them.
     """
-    salt = F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int").alias("_salt")
-    pairs = df.select(key, salt, F.inline(term_counts(words)))
-    per_salt = (
-        df.select(salt, F.explode(F.array_distinct(words)).alias("token"))
-        .groupBy("token", "_salt")
-        .agg(F.count(F.lit(1)).alias("df"))
-    )
-    vocabulary = per_salt.groupBy("token").agg(
-        F.sum("df").alias("df"), F.collect_list("_salt").alias("_salts")
-    )
-    rows = df.agg(F.count(F.lit(1)).alias("rows")).scalar()
+    counted = stored(df.select(F.col(f"`{key}`").alias(key), term_counts(words).alias("terms")), scratch)
+    rows = counted.count()
+    pairs = counted.select(key, F.inline("terms"))
+    parts = F.ceil(F.col("df") / F.lit(rows_per_part)).cast("int")
     idf = F.when(
         F.col("df") >= min_doc_freq, F.log((rows + 1) / (F.col("df") + 1))
     ).otherwise(F.lit(0.0))
-    weights = vocabulary.select(
-        "token", F.explode("_salts").alias("_salt"), "df", idf.alias("idf")
+    vocabulary = (
+        pairs.groupBy("token")
+        .agg(F.count(F.lit(1)).alias("df"))
+        .select("token", "df", idf.alias("idf"), parts.alias("_parts"))
     )
-    return pairs.join(weights, ["token", "_salt"]).select(
+    # At most as many tokens as rows / rows_per_part times the terms of a row are hot.
+    hot = vocabulary.where("_parts > 1").select("token", "_parts")
+    if hot.limit(1).count() == 0:
+        weighed = pairs.hint("merge").join(vocabulary.drop("_parts"), "token")
+    else:
+        salt = F.pmod(F.xxhash64(F.col(f"`{key}`")), F.col("_parts")).cast("int")
+        pairs = pairs.join(hot, "token", "left").withColumn("_salt", F.coalesce(salt, F.lit(0)))
+        each = vocabulary.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+        weighed = pairs.drop("_parts").hint("merge").join(each.drop("_parts"), ["token", "_salt"])
+    return weighed.select(
         key, "token", "tf", "df", "idf", (F.col("tf") * F.col("idf")).alias("tfidf")
     )

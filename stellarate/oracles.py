@@ -5,11 +5,32 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from stellarate.functions.sampling import threshold
-from stellarate.functions.text import CONTRACTIONS, ENGLISH_STOP_WORDS
+from stellarate.functions.text import CONTRACTIONS
 from stellarate.queries import CONTRACTED, SEED
 
 QUARTILES = {"25%": 0.25, "50%": 0.5, "75%": 0.75}
 
+# Spark's English stop words.
+ENGLISH_STOP_WORDS = [
+    "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "your", "yours",
+    "yourself", "yourselves", "he", "him", "his", "himself", "she", "her", "hers", "herself",
+    "it", "its", "itself", "they", "them", "their", "theirs", "themselves", "what", "which",
+    "who", "whom", "this", "that", "these", "those", "am", "is", "are", "was", "were", "be",
+    "been", "being", "have", "has", "had", "having", "do", "does", "did", "doing", "a", "an",
+    "the", "and", "but", "if", "or", "because", "as", "until", "while", "of", "at", "by", "for",
+    "with", "about", "against", "between", "into", "through", "during", "before", "after",
+    "above", "below", "to", "from", "up", "down", "in", "out", "on", "off", "over", "under",
+    "again", "further", "then", "once", "here", "there", "when", "where", "why", "how", "all",
+    "any", "both", "each", "few", "more", "most", "other", "some", "such", "no", "nor", "not",
+    "only", "own", "same", "so", "than", "too", "very", "s", "t", "can", "will", "just", "don",
+    "should", "now", "i'll", "you'll", "he'll", "she'll", "we'll", "they'll", "i'd", "you'd",
+    "he'd", "she'd", "we'd", "they'd", "i'm", "you're", "he's", "she's", "it's", "we're",
+    "they're", "i've", "we've", "you've", "they've", "isn't", "aren't", "wasn't", "weren't",
+    "haven't", "hasn't", "hadn't", "don't", "doesn't", "didn't", "won't", "wouldn't", "shan't",
+    "shouldn't", "mustn't", "can't", "couldn't", "cannot", "could", "here's", "how's", "let's",
+    "ought", "that's", "there's", "what's", "when's", "where's", "who's", "why's", "would",
+]
+
 SCORED = """
 SELECT (l.quality > 0.5)::INT::DOUBLE AS label, (l.toxic = 0)::INT::DOUBLE AS prediction,
        d.n_chars::DOUBLE AS score
@@ -50,13 +71,20 @@ def described(column: str) -> dict[str, str]:
     }
 
 
-def typed_cells(table: str, numeric: dict[str, list[str]], strings: dict[str, list[str]]) -> str:
-    """(column, stat, value, text) cells of the typed summary."""
+def typed_cells(
+    table: str,
+    numeric: dict[str, list[str]],
+    strings: dict[str, list[str]],
+    longs: tuple[str, ...] = (),
+) -> str:
+    """(column, stat, value, text) cells; extremes of ``longs`` stand in the text as well."""
     names = {"count": "count({c})", "mean": "avg({c})", "stddev": "stddev_samp({c})",
              "min": "min({c})", "max": "max({c})"}
     parts = [
         f"SELECT '{c}' AS \"column\", '{stat}' AS stat, "
-        f"round(({names[stat].format(c=c)})::DOUBLE, 4) AS value, NULL::VARCHAR AS text FROM {table}"
+        f"round(({names[stat].format(c=c)})::DOUBLE, 4) AS value, "
+        + (f"{stat}({c})::VARCHAR" if c in longs and stat in ("min", "max") else "NULL::VARCHAR")
+        + f" AS text FROM {table}"
         for c, stats in numeric.items()
         for stat in stats
     ]
@@ -93,7 +121,10 @@ def profiled(table: str, types: dict[str, str], numeric: list[str], duplicates:
         )
     return union(
         f"SELECT '{table}' AS source, '{c}' AS \"column\", '{stat}' AS stat, "
-        f"round(max(v)::DOUBLE, 4) AS value, {quoted(text) if text else 'NULL::VARCHAR'} AS text "
+        f"round(max(v)::DOUBLE, 4) AS value, "
+        + ("max(v)::VARCHAR" if stat in ("min", "max") and types.get(c) == "bigint"
+           else quoted(text) if text else "NULL::VARCHAR")
+        + f" AS text "
         f"FROM (SELECT {aggregate} AS v FROM {table})"
         for c, stat, aggregate, text in cells
     )
@@ -314,6 +345,49 @@ ORACLES: dict[str, str] = {
     ),
     "rename_join": JOINED,
     "rename_join_salted": JOINED,
+    "skewed_join": """
+        SELECT l_orderkey, l_linenumber, l_returnflag, flag_lines, flag_most FROM lineitem
+        JOIN (SELECT l_returnflag, count(*) AS flag_lines, max(l_quantity) AS flag_most
+              FROM lineitem GROUP BY l_returnflag) USING (l_returnflag)""",
+    "cleaning_job": """
+        SELECT event_id, json_extract(props, '$.k')::BIGINT AS k, user_id, value FROM events
+        WHERE event_id % 100 <> 0""",
+    "rejected_lines": """
+        SELECT 20 AS length, count(*) AS lines FROM events WHERE event_id % 100 = 0""",
+    "schema_profile": """
+        SELECT (row_number() OVER (ORDER BY column_index) - 1)::INT AS position,
+               column_name AS "column",
+               CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int'
+                   WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string'
+                   ELSE 'timestamp_ntz' END AS type, true AS nullable
+        FROM duckdb_columns() WHERE table_name = 'lineitem'""",
+    "typed_dates": """
+        SELECT min(d)::VARCHAR AS oldest, max(d)::VARCHAR AS newest,
+               count(*) FILTER (d IS NULL) AS undated
+        FROM (SELECT CASE WHEN o_orderkey % 10 <> 0 THEN date_trunc('second', o_orderdate) END AS d
+              FROM orders)""",
+    "dup_rows_events": """
+        WITH e AS (SELECT ts, user_id, event_type, value, props FROM events),
+        u AS (SELECT * FROM e UNION ALL SELECT * REPLACE (CASE WHEN user_id % 3 <> 0
+              THEN ts + INTERVAL 1 MICROSECOND ELSE ts END AS ts) FROM e)
+        SELECT (SELECT count(*) FROM u) - (SELECT count(*) FROM (SELECT DISTINCT * FROM u))
+            AS duplicate_rows""",
+    "hash_sample_null_keys": """
+        SELECT o_orderkey % 2 <> 0 AS null_key, count(*) AS rows, true AS fair
+        FROM orders GROUP BY 1""",
+    "draws_checked": """
+        SELECT unnest(['sample is a subset', 'sample has its share', 'parts are disjoint',
+                       'parts cover all', 'parts have their shares']) AS "check", true AS holds""",
+    "approximate_ranks": """
+        SELECT c AS "column", s AS stat, true AS near
+        FROM (VALUES ('o_custkey'), ('o_totalprice')) a(c), (VALUES ('25%'), ('50%'), ('75%')) b(s)""",
+    "model_checks": """
+        SELECT unnest(['four grid points', 'one best point', 'best point is fitted',
+            'predictions follow scores', 'coefficients are numbered', 'roc ends', 'roc rises',
+            'roc area is the auc']) AS "check", true AS holds""",
+    "scored_labels": f"""{REVIEW_FRAME}
+        SELECT review_id, (review_stars > 2.999)::INT::DOUBLE AS label, true AS scored FROM f
+        WHERE {draw("review_id")} >= '{threshold(0.7)}'""",
     "null_counts": f"""
         SELECT {", ".join(
             f"count(*) FILTER ({c} IS NULL) AS {c}"
@@ -344,6 +418,7 @@ ORACLES: dict[str, str] = {
          for c in ("o_orderkey", "o_custkey", "o_totalprice")},
         {c: ["count", "mean", "stddev", "min", "max"]
          for c in ("o_orderstatus", "o_orderpriority")},
+        longs=("o_orderkey", "o_custkey"),
     ),
     "summary_subset": typed_cells(
         "orders",

@@ -5,16 +5,20 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stellarate.operators.columns import drop_columns, drop_incomplete_rows
 from stellarate.operators.profile import null_counts
-from stellarate.sources.schemas import COMPLIMENT_KINDS, SCHEMAS
-from stellarate.sources.tables import Layout, read_json, stored
+from stellarate.sources.schemas import SCHEMAS
+from stellarate.sources.tables import Layout, parsed_lines, stored, whole_schema, write_parquet
 
 
 @dataclass(frozen=True)
 class Rule:
+    """``drop`` names columns that go; ``keep``, where set, all columns that stay."""
+
     drop: tuple[str, ...] = ()
+    keep: tuple[str, ...] = ()
     complete_rows_only: bool = False
 
 
@@ -24,36 +28,47 @@ RULES: dict[str, Rule] = {
     "review": Rule(),
     "tip": Rule(drop=("compliment_count",)),
     "user": Rule(
-        drop=(
-            *[f"compliment_{kind}" for kind in COMPLIMENT_KINDS],
-            *("cool", "elite", "fans", "friends", "funny", "name"),
-        )
+        keep=("average_stars", "review_count", "useful", "user_id", "yelping_since")
     ),
 }
 
 
 def clean(df: DataFrame, rule: Rule) -> DataFrame:
     kept = drop_columns(df, *rule.drop)
+    if rule.keep:
+        kept = kept.select(*rule.keep)
     return drop_incomplete_rows(kept) if rule.complete_rows_only else kept
 
 
-def landing_table(
-    spark: SparkSession, layout: Layout, table: str, infer: bool = False
-) -> DataFrame:
-    """The raw table; ``infer`` keeps columns and nested fields the schema leaves out."""
-    return read_json(spark, layout.landing(table), None if infer else SCHEMAS[table])
+def landing_lines(
+    spark: SparkSession, layout: Layout, table: str
+) -> tuple[DataFrame, DataFrame]:
+    """(rows with every column and nested field, rejected lines) of a raw table."""
+    path = layout.landing(table)
+    return parsed_lines(spark, path, whole_schema(spark, path, SCHEMAS[table]))
+
+
+def landing_table(spark: SparkSession, layout: Layout, table: str) -> DataFrame:
+    """The raw table with every column and nested field."""
+    return landing_lines(spark, layout, table)[0]
+
+
+def typed_dates(df: DataFrame, *columns: str) -> DataFrame:
+    """Date-time strings as timestamps; what is no date-time becomes null."""
+    return df.withColumns({c: F.try_to_timestamp(F.col(c)) for c in columns})
 
 
 def clean_table(
-    spark: SparkSession,
-    layout: Layout,
-    table: str,
-    infer: bool = False,
-    mode: str = "errorifexists",
+    spark: SparkSession, layout: Layout, table: str, mode: str = "errorifexists"
 ) -> DataFrame:
-    """Clean one table and write it; returns the written table."""
-    raw = landing_table(spark, layout, table, infer)
-    return stored(clean(raw, RULES[table]), layout.cleaned(table), mode)
+    """Clean one table and write it; returns the written table.
+
+    Lines that could not be read are written to ``layout.rejected(table)``, also if
+    there are none.
+    """
+    rows, rejects = landing_lines(spark, layout, table)
+    write_parquet(rejects, layout.rejected(table), mode)
+    return stored(clean(rows, RULES[table]), layout.cleaned(table), mode)
 
 
 def null_report(before: DataFrame, after: DataFrame) -> DataFrame:

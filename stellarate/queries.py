@@ -21,7 +21,15 @@ from stellarate.operators.encoding import category_index, index_categories, min_
 from stellarate.operators.tfidf import token_tfidf
 from stellarate.plans import cleaning, exploration, training
 from stellarate.session import scratch_path
-from stellarate.sources.tables import Layout, read_json, read_parquet, stored, write_json
+from stellarate.sources.tables import (
+    Layout,
+    parsed_lines,
+    read_json,
+    read_parquet,
+    stored,
+    whole_schema,
+    write_json,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -133,11 +141,87 @@ def rename_join(spark: SparkSession, sf: str, broadcast_bytes: int = joins.BROAD
     return joined.withColumn("spent", F.col("l_quantity") * F.col("part_price"))
 
 
+def skewed_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines with the totals of their return flag: three keys, each with a large share."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+    flags = table(spark, sf, "lineitem").groupBy("l_returnflag").agg(
+        F.count(F.lit(1)).alias("flag_lines"), F.max("l_quantity").alias("flag_most")
+    )
+    return joins.join_dimension(
+        lines, flags, "l_returnflag", ["l_orderkey", "l_linenumber"], 0, rows_per_part=5_000
+    )
+
+
 def rename_join_salted(spark: SparkSession, sf: str) -> DataFrame:
     """The same join on the way that big dimensions take."""
     return rename_join(spark, sf, broadcast_bytes=0)
 
 
+def events_as_json(spark: SparkSession, sf: str) -> str:
+    """Events as JSON lines with nested fields, every hundredth line broken; their path."""
+    nested = table(spark, sf, "events").select(
+        "event_id",
+        "event_type",
+        F.struct(
+            F.get_json_object("props", "$.k").cast("bigint").alias("k"),
+            F.struct(F.col("user_id").alias("id"), F.col("value")).alias("user"),
+        ).alias("attributes"),
+    )
+    line = F.to_json(F.struct("*"))
+    broken = F.when(F.col("event_id") % 100 == 0, F.expr("substring(line, 1, 20)")).otherwise(
+        F.col("line")
+    )
+    path = scratch_path(spark, "events.json")
+    nested.withColumn("line", line).select(broken.alias("value")).write.text(path)
+    return path
+
+
+EVENT_COLUMNS = T.StructType(
+    [T.StructField("event_id", T.LongType()), T.StructField("event_type", T.StringType())]
+)
+
+
+def cleaning_job(spark: SparkSession, sf: str) -> DataFrame:
+    """Landing JSON to cleaned Parquet and back: nested fields that no schema names stay."""
+    path = events_as_json(spark, sf)
+    rows, _ = parsed_lines(spark, path, whole_schema(spark, path, EVENT_COLUMNS))
+    rule = cleaning.Rule(drop=("event_type",), complete_rows_only=True)
+    cleaned = stored(cleaning.clean(rows, rule), scratch_path(spark, "cleaned.parquet"))
+    return cleaned.select(
+        "event_id",
+        F.col("attributes.k").alias("k"),
+        F.col("attributes.user.id").alias("user_id"),
+        F.col("attributes.user.value").alias("value"),
+    )
+
+
+def rejected_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """What the cleaning job could not read, by length of the line."""
+    path = events_as_json(spark, sf)
+    _, rejects = parsed_lines(spark, path, whole_schema(spark, path, EVENT_COLUMNS))
+    kept = stored(rejects, scratch_path(spark, "rejected.parquet"))
+    return kept.groupBy(F.length("line").alias("length")).agg(F.count(F.lit(1)).alias("lines"))
+
+
+def schema_listing(spark: SparkSession, sf: str) -> DataFrame:
+    return cols.schema_profile(table(spark, sf, "lineitem"))
+
+
+def typed_dates(spark: SparkSession, sf: str) -> DataFrame:
+    """First and last order date, from dates written as text."""
+    written = table(spark, sf, "orders").select(
+        F.when(F.col("o_orderkey") % 10 == 0, "no date")
+        .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+        .alias("date")
+    )
+    dated = cleaning.typed_dates(written, "date")
+    return dated.agg(
+        F.min("date").cast("string").alias("oldest"),
+        F.max("date").cast("string").alias("newest"),
+        F.count_if(F.col("date").isNull()).alias("undated"),
+    )
+
+
 # ---- profiles ----
 
 
@@ -170,6 +254,14 @@ def dup_rows(spark: SparkSession, sf: str) -> DataFrame:
     return prof.duplicate_rows(table(spark, sf, "documents").drop("doc_id"))
 
 
+def dup_rows_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Two copies of the events, one a microsecond later for two thirds of them."""
+    events = table(spark, sf, "events").drop("event_id")
+    later = F.when(F.col("user_id") % 3 != 0, F.expr("ts + INTERVAL 1 MICROSECOND"))
+    moved = events.withColumn("ts", F.coalesce(later, F.col("ts")))
+    return prof.duplicate_rows(events.unionByName(moved))
+
+
 def describe_numeric(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(prof.describe_numeric(table(spark, sf, "events")), 4)
 
@@ -282,12 +374,63 @@ def hash_split(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select("o_orderkey", part.alias("part"))
 
 
+def hash_sample_null_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts of rows whose key is null half of the time: no part is empty of them."""
+    gappy = table(spark, sf, "orders").select(
+        F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey")).alias("key"), "o_totalprice"
+    )
+    part = sampling.split_number(["key"], [0.5, 0.5], SEED, gappy.columns)
+    counts = gappy.groupBy(F.col("key").isNull().alias("null_key")).agg(
+        F.count(F.lit(1)).alias("rows"), F.avg(part).alias("share")
+    )
+    fair = F.abs(F.col("share") - 0.5) < 2.5 / F.sqrt("rows")
+    return counts.select("null_key", "rows", fair.alias("fair"))
+
+
 def hash_folds(spark: SparkSession, sf: str) -> DataFrame:
     fold = sampling.fold_number(["l_orderkey", "l_linenumber"], 3, SEED)
     lines = table(spark, sf, "lineitem").select(fold.alias("fold"))
     return dist.value_counts(lines, "fold")
 
 
+def draws_checked(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of the draws that depend on the partitioning, as rows (check, holds)."""
+    orders = table(spark, sf, "orders")
+    rows = orders.count()
+    sample = bernoulli_sample(spark, sf)
+    parts = random_split(spark, sf)
+    found = parts.agg(F.count(F.lit(1)), F.count_distinct("o_orderkey"), F.avg("part")).first()
+    slack = 5 / rows**0.5
+    strange = sample.join(orders.select("o_orderkey"), "o_orderkey", "left_anti").count()
+    holds = {
+        "sample is a subset": strange == 0,
+        "sample has its share": abs(sample.count() / rows - 0.25) < slack,
+        "parts are disjoint": found[0] == found[1],
+        "parts cover all": found[1] == rows,
+        "parts have their shares": abs(found[2] - 0.3) < slack,
+    }
+    return spark.createDataFrame(list(holds.items()), "check string, holds boolean")
+
+
+def approximate_ranks(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the approximate quartiles are within a hundredth of their ranks."""
+    quartiles = prof.summary_all(table(spark, sf, "orders")).where(
+        F.col("column").isin("o_custkey", "o_totalprice") & F.col("stat").endswith("%")
+    )
+    wanted = quartiles.select("column", "stat", "value").collect()
+    orders = table(spark, sf, "orders")
+    shares = orders.agg(
+        *[F.avg((F.col(q.column) <= q.value).cast("int")) for q in wanted],
+        *[F.avg((F.col(q.column) < q.value).cast("int")) for q in wanted],
+    ).first()
+    rows = []
+    for i, q in enumerate(wanted):
+        share = float(q.stat.rstrip("%")) / 100
+        near = shares[i + len(wanted)] - 0.01 <= share <= shares[i] + 0.01
+        rows.append((q.column, q.stat, bool(near)))
+    return spark.createDataFrame(rows, "column string, stat string, near boolean")
+
+
 def bernoulli_sample(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.bernoulli_sample(table(spark, sf, "orders"), 0.25, SEED)
 
@@ -350,7 +493,8 @@ def stopwords(spark: SparkSession, sf: str) -> DataFrame:
 
 def token_weights(spark: SparkSession, sf: str) -> DataFrame:
     words = text.remove_stop_words(text.tokenize(F.col("text")))
-    weights = token_tfidf(table(spark, sf, "documents"), "doc_id", words)
+    scratch = scratch_path(spark, "terms.parquet")
+    weights = token_tfidf(table(spark, sf, "documents"), "doc_id", words, scratch)
     return rounded(weights, 6)
 
 
@@ -396,8 +540,10 @@ def hashed_tfidf(spark: SparkSession, sf: str) -> DataFrame:
     revised = contracted_documents(spark, sf).withColumn(
         "revised_text", text.expand_contractions(F.col("text"))
     )
-    stages = training.text_stages(training.Options())
-    weighted = Pipeline(stages=stages).fit(revised).transform(revised)
+    options = training.Options()
+    terms = PipelineModel(stages=training.term_stages(options)).transform(revised)
+    terms = stored(terms.select("doc_id", "word_features"), scratch_path(spark, "terms.parquet"))
+    weighted = training.weight_stage(options).fit(terms).transform(terms)
     vectors = weighted.select("doc_id", F.unwrap_udt("IDF_features").alias("vector"))
     return vectors.select(
         "doc_id", F.inline(F.arrays_zip("vector.indices", "vector.values"))
@@ -471,15 +617,11 @@ def trained(
     return model, learn, model.model.transform(test)
 
 
-# One grid point only: enough where the choice of parameters is not the subject.
-SINGLE = training.Options(reg_params=(0.0,), elastic_net_params=(0.0,))
-WITH_TEXT = training.Options(
-    text_features=True, reg_params=(0.1,), elastic_net_params=(0.0,), hashed_terms=1024
-)
+WITH_TEXT = training.Options(text_features=True)
 
 
 def train_score(spark: SparkSession, sf: str) -> DataFrame:
-    _, _, predictions = trained(spark, sf, SINGLE)
+    _, _, predictions = trained(spark, sf)
     return training.with_score(predictions).select("review_id", "label", "prediction", "score")
 
 
@@ -494,20 +636,56 @@ def cv_grid(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def best_params(spark: SparkSession, sf: str) -> DataFrame:
-    model, learn, _ = trained(spark, sf, SINGLE)
+    model, learn, _ = trained(spark, sf)
     return training.best_parameters(model, learn)
 
 
 def coefficients(spark: SparkSession, sf: str) -> DataFrame:
-    model, _, predictions = trained(spark, sf, SINGLE)
+    model, _, predictions = trained(spark, sf)
     return training.coefficients(model, predictions)
 
 
 def training_roc(spark: SparkSession, sf: str) -> DataFrame:
-    model, learn, _ = trained(spark, sf, SINGLE)
+    model, learn, _ = trained(spark, sf)
     return training.evaluate(model.model.transform(learn))["roc"]
 
 
+def model_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of one training run, each as a row (check, holds)."""
+    model, learn, predictions = trained(spark, sf)
+    grid = training.grid_scores(model, learn).collect()
+    chosen = {r.param: float(r.value) for r in training.best_parameters(model, learn).collect()
+              if r.param in ("regParam", "elasticNetParam")}
+    best = max(grid, key=lambda r: r.auc)
+    scored = training.with_score(predictions)
+    wrong = scored.where((F.col("score") > 0.5) != (F.col("prediction") == 1)).count()
+    names = training.coefficients(model, predictions).collect()
+    evaluated = training.evaluate(predictions)
+    area = evaluated["auc"].first().auc
+    curve = sorted((r.fpr, r.tpr) for r in evaluated["roc"].collect())
+    under = sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(curve, curve[1:]))
+    holds = {
+        "four grid points": len({(r.reg_param, r.elastic_net_param) for r in grid}) == 4,
+        "one best point": [r.best for r in grid].count(True) == 1 and best.auc == max(
+            r.auc for r in grid if r.best),
+        "best point is fitted": chosen == {
+            "regParam": next(r.reg_param for r in grid if r.best),
+            "elasticNetParam": next(r.elastic_net_param for r in grid if r.best)},
+        "predictions follow scores": wrong == 0,
+        "coefficients are numbered": [r.idx for r in names] == list(range(len(names))),
+        "roc ends": curve[0] == (0.0, 0.0) and curve[-1] == (1.0, 1.0),
+        "roc rises": all(a[1] <= b[1] for a, b in zip(curve, curve[1:])),
+        "roc area is the auc": abs(under - area) < 1e-9,
+    }
+    return spark.createDataFrame(list(holds.items()), "check string, holds boolean")
+
+
+def scored_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Label and share of the test rows of the same run as ``train_score``."""
+    _, _, predictions = trained(spark, sf)
+    return predictions.select("review_id", "label", F.col("prediction").isin(0.0, 1.0).alias("scored"))
+
+
 def exploratory_features(spark: SparkSession, sf: str) -> DataFrame:
     options = training.Options(handle_invalid="error")
     featured = training.exploratory_features(review_frame(spark, sf), options)
@@ -518,7 +696,7 @@ def exploratory_features(spark: SparkSession, sf: str) -> DataFrame:
 
 def model_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Rows the stored model scores differently from the stored predictions: none."""
-    model, learn, predictions = trained(spark, sf, SINGLE)
+    model, learn, predictions = trained(spark, sf)
     layout = Layout(scratch_path(spark, "store"))
     training.save(model, predictions, layout)
     stored = read_parquet(spark, layout.trusted("predictions"))
@@ -547,6 +725,15 @@ QUERIES: dict[str, Query] = {
     "null_report": null_report,
     "rename_join": rename_join,
     "rename_join_salted": rename_join_salted,
+    "skewed_join": skewed_join,
+    "cleaning_job": cleaning_job,
+    "rejected_lines": rejected_lines,
+    "schema_profile": schema_listing,
+    "typed_dates": typed_dates,
+    "dup_rows_events": dup_rows_events,
+    "hash_sample_null_keys": hash_sample_null_keys,
+    "draws_checked": draws_checked,
+    "approximate_ranks": approximate_ranks,
     "null_counts": null_counts,
     "nonnull_counts": nonnull_counts,
     "null_rows": null_rows,
@@ -598,6 +785,8 @@ QUERIES: dict[str, Query] = {
     "best_params": best_params,
     "coefficients": coefficients,
     "training_roc": training_roc,
+    "model_checks": model_checks,
+    "scored_labels": scored_labels,
     "exploratory_features": exploratory_features,
     "model_roundtrip": model_roundtrip,
 }

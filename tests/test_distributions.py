@@ -92,3 +92,20 @@ def test_scatter_counts_hold_every_point(spark):
     points = spark.createDataFrame([(float(i % 7), float(i % 5)) for i in range(100)], "a double, b double")
     cells = dist.scatter_counts(points, "a", "b", 7, 5).collect()
     assert sum(r["count"] for r in cells) == 100 and len(cells) == 35
+
+
+def test_infinities_are_counted_apart(spark):
+    inf = float("inf")
+    rows = spark.createDataFrame([(float(i),) for i in range(10)] + [(inf,), (-inf,), (inf,)], "x double")
+    bins = dist.histogram(rows, "x", 3).collect()
+    assert sum(r["count"] for r in bins) == 10 and min(r.lower for r in bins) == 0.0
+    assert sum(r["count"] for r in dist.automatic_histogram(rows, "x").collect()) == 10
+    assert tuple(dist.infinite_counts(rows, "x").first()) == (1, 2)
+
+
+def test_automatic_histogram_with_empty_bins(spark):
+    rows = spark.createDataFrame([(float(i % 5),) for i in range(50)] + [(40.0,)], "x double")
+    every = dist.automatic_histogram(rows, "x", empty_bins=True).collect()
+    some = dist.automatic_histogram(rows, "x").collect()
+    assert sorted(r.bin for r in every) == list(range(len(every))) and len(some) < len(every)
+    assert {tuple(r) for r in some} <= {tuple(r) for r in every}

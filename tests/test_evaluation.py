@@ -62,3 +62,11 @@ def test_roc_is_monotone_and_ends_at_one(spark, ranked_rows):
 
 def test_auc_of_one_class_is_null(spark):
     assert evaluation.area_under_roc(scored(spark, [(1.0, 1.0, 0.5)]), "score").first().auc is None
+
+
+def test_rows_without_a_label_are_left_out(spark):
+    rows = spark.createDataFrame(
+        [(1.0, 1.0), (0.0, 1.0), (None, 1.0), (None, 0.0)], "label double, prediction double"
+    )
+    got = sorted(map(tuple, evaluation.confusion_matrix(rows).collect()))
+    assert got == [(0.0, 0, 1), (1.0, 0, 1)]

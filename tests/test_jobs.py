@@ -59,7 +59,6 @@ def review(number: int) -> dict:
 
 
 def user(number: int) -> dict:
-    kinds = "cool cute funny hot list more note photos plain profile writer".split()
     return {
         "user_id": f"u{number}",
         "name": "N",
@@ -72,7 +71,17 @@ def user(number: int) -> dict:
         "friends": "None",
         "fans": number % 3,
         "average_stars": 1 + number % 17 / 4,
-        **{f"compliment_{kind}": 0 for kind in kinds},
+        "compliment_cool": 0,
+        "compliment_cute": 0,
+        "compliment_funny": 0,
+        "compliment_hot": 0,
+        "compliment_list": 0,
+        "compliment_more": 0,
+        "compliment_note": 0,
+        "compliment_photos": 0,
+        "compliment_plain": 0,
+        "compliment_profile": 0,
+        "compliment_writer": 0,
     }
 
 
@@ -119,7 +128,7 @@ def test_null_report(spark, layout, cleaned):
 
 
 def test_inferred_scan_keeps_other_attributes(spark, layout):
-    raw = cleaning.landing_table(spark, layout, "business", infer=True)
+    raw = cleaning.landing_table(spark, layout, "business")
     assert raw.where("attributes.WiFi = 'free'").count() == 11
 
 
@@ -242,14 +251,14 @@ def test_save_and_load(spark, trained, layout):
     assert pairs.count() == 0
 
 
-def test_token_weights_are_those_of_spark(spark, frame):
+def test_token_weights_are_those_of_spark(spark, frame, tmp_path):
     """ln((m + 1) / (df + 1)) per token, by brute force."""
     from stellarate.functions.text import tokenize
     from stellarate.operators.tfidf import token_tfidf
     from math import log
 
     rows = frame.select("review_id", "text").collect()
-    got = token_tfidf(frame, "review_id", tokenize(F.col("text"))).collect()
+    got = token_tfidf(frame, "review_id", tokenize(F.col("text")), str(tmp_path / "terms")).collect()
     words = {r.review_id: r.text.lower().replace(".", " ").replace(",", " ").replace("'", " ").split() for r in rows}
     documents = {}
     for tokens in words.values():
@@ -260,3 +269,35 @@ def test_token_weights_are_those_of_spark(spark, frame):
         assert row.tf == words[row.review_id].count(row.token)
         assert row.df == documents[row.token]
         assert row.idf == pytest.approx(log((len(rows) + 1) / (row.df + 1)))
+
+
+def test_hot_tokens_give_the_same_weights(spark, frame, tmp_path):
+    from stellarate.functions.text import tokenize
+    from stellarate.operators.tfidf import token_tfidf
+
+    words = tokenize(F.col("text"))
+    plain = token_tfidf(frame, "review_id", words, str(tmp_path / "a"))
+    split = token_tfidf(frame, "review_id", words, str(tmp_path / "b"), rows_per_part=20)
+    assert sorted(plain.collect()) == sorted(split.collect())
+
+
+def test_nothing_is_lost_on_landing(spark, tmp_path):
+    """Unknown columns and nested fields stay; broken lines go to the rejects."""
+    store = Layout(str(tmp_path))
+    (tmp_path / "landing").mkdir()
+    lines = [json.dumps(business(n) | {"extra": [n]}) for n in range(2, 8)]
+    lines += ['{"business_id": "b9", "stars": ', "", '{"stars": "many"}', "[1]"]
+    (tmp_path / "landing" / "business.json").write_text("\n".join(lines))
+    kept = cleaning.clean_table(spark, store, "business")
+    assert kept.select("attributes.WiFi").distinct().collect()[0][0] == "free"
+    assert "extra" in kept.columns and kept.count() == 6
+    rejects = sorted(r.line for r in read_parquet(spark, store.rejected("business")).collect())
+    assert rejects == sorted(line for line in lines[6:] if line)
+
+
+def test_grid_of_one_point_is_complete(spark, frame):
+    single = training.Options(reg_params=(0.1,), elastic_net_params=(0.0,), parallelism=1)
+    scores = training.grid_scores(training.train(frame, single), frame).collect()
+    assert len(scores) == 1 and scores[0].best and 0 <= scores[0].auc <= 1
+    quick = training.Options(parallelism=1, validate=False)
+    assert [r.auc for r in training.grid_scores(training.train(frame, quick), frame).collect()] == [None] * 4

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stellarate.operators.encoding import category_index, index_categories, min_max
+from stellarate.operators import joins
 from stellarate.operators.joins import join_dimension
 
 
@@ -23,11 +24,23 @@ def test_join_is_the_plain_join(spark, facts, limit):
     assert sorted(joined.collect()) == sorted(expected.collect())
 
 
-def test_hot_key_is_salted(spark, facts):
+def test_hot_key_is_dealt_to_parts_by_its_rows(spark, facts):
+    """A third of 6,000 rows, 300 rows a part: seven parts, none far above 300 rows."""
+    hot = joins.hot_keys(facts, "key", rows_per_part=300)
+    assert [tuple(r) for r in hot.collect()] == [(0, 7)]
+    parts = joins.dealt(facts, hot, "key", ["id"]).where("key = 0").groupBy("_salt").count().collect()
+    assert len(parts) == 7 and max(r["count"] for r in parts) < 400
+    dimension = spark.range(900).select(F.col("id").alias("key"), (F.col("id") * 2).alias("twice"))
+    assert joins.repeated(dimension, hot, "key").where("key = 0").count() == 7
+    joined = join_dimension(facts, dimension, "key", ["id"], 0, rows_per_part=300)
+    assert sorted(joined.collect()) == sorted(facts.join(dimension, "key").collect())
+
+
+def test_null_spread_and_map_columns(spark, facts):
+    odd = facts.select("key", F.create_map("id", "id").alias("m"), F.lit(None).cast("int").alias("none"))
     dimension = spark.range(900).select(F.col("id").alias("key"))
-    plan = join_dimension(facts, dimension, "key", ["id"], 0)
-    text = plan._jdf.queryExecution().optimizedPlan().toString()
-    assert "_salt" in text and "Cross" not in text
+    joined = join_dimension(odd, dimension, "key", None, 0, rows_per_part=300)
+    assert joined.count() == facts.join(dimension, "key").count()
 
 
 def test_join_of_empty_sides(spark, facts):
@@ -41,6 +54,9 @@ def test_category_index_orders_by_frequency_then_value(spark):
     got = {r.c: r.i for r in category_index(rows, "c", "i").collect()}
     assert got == {"d": 0.0, "a": 1.0, "b": 2.0, "c": 3.0}
     assert index_categories(rows, "c", "i").count() == 8
+    assert index_categories(rows, "c", "i", handle_null="keep").where("c IS NULL").first().i == 4.0
+    with pytest.raises(ValueError):
+        index_categories(rows, "c", "i", handle_null="error")
 
 
 def test_min_max(spark):

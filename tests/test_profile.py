@@ -85,3 +85,21 @@ def test_profile_parts(mixed):
     assert all(r.source == "mixed" for r in rows)
     bare = prof.profile(mixed, "mixed", duplicates=False).collect()
     assert "duplicate_rows" not in {r.stat for r in bare}
+
+
+def test_duplicates_to_the_microsecond_and_nested(spark):
+    rows = spark.sql(
+        """SELECT * FROM VALUES
+        (timestamp'2020-01-01 00:00:00.123456', map('a', 1, 'b', 2), named_struct('x', array(0.0D))),
+        (timestamp'2020-01-01 00:00:00.123999', map('a', 1, 'b', 2), named_struct('x', array(0.0D))),
+        (timestamp'2020-01-01 00:00:00.123456', map('b', 2, 'a', 1), named_struct('x', array(-0.0D))),
+        (timestamp'2020-01-01 00:00:00.123456', map('a', 1, 'b', 3), named_struct('x', array(0.0D))),
+        (null, null, null), (null, null, null) AS t(ts, m, s)"""
+    )
+    assert prof.duplicate_rows(rows).first()[0] == 2
+
+
+def test_extremes_of_longs_are_exact(spark):
+    rows = spark.createDataFrame([(9007199254740993,), (9007199254740992,)], "id long")
+    text = {r.stat: r.text for r in prof.summary(rows, ["id"], ["min", "max"]).collect()}
+    assert text == {"min": "9007199254740992", "max": "9007199254740993"}

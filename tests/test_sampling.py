@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from stellarate.functions import sampling
 
@@ -41,3 +42,13 @@ def test_folds_are_even(spark):
 def test_bernoulli_sample_takes_no_row_twice(spark):
     ids = [r.id for r in sampling.bernoulli_sample(spark.range(1000), 0.5, 3).collect()]
     assert len(ids) == len(set(ids)) and 400 < len(ids) < 600
+
+
+def test_null_keys_are_drawn_like_others(spark):
+    rows = spark.range(2000).select(F.lit(None).cast("string").alias("key"), "id")
+    kept = sampling.hash_sample(rows, ["key"], 0.4, 1).count()
+    assert 700 < kept < 900
+    sizes = [part.count() for part in sampling.hash_split(rows, ["key"], [0.5, 0.5], 1)]
+    assert sum(sizes) == 2000 and min(sizes) > 850
+    pair = spark.createDataFrame([("a", None), (None, "a")], "p string, q string")
+    assert len({r[0] for r in pair.select(sampling.draw(["p", "q"], 1)).collect()}) == 2
