@@ -43,11 +43,32 @@ def ship(spark: SparkSession) -> None:
     _shipped[context] = True
 
 
-def map_arrow(df: DataFrame, function: Callable[[Batches], Batches], schema: str) -> DataFrame:
+#: What a worker process keeps from task to task.
+caches: dict[object, object] = {}
+
+
+class Task:
+    """A function over batches; unless it uses the kept caches, they are dropped first."""
+
+    def __init__(self, function: Callable[[Batches], Batches], keeps_caches: bool) -> None:
+        self.function, self.keeps_caches = function, keeps_caches
+
+    def __call__(self, batches: Batches) -> Batches:
+        if not self.keeps_caches:
+            caches.clear()
+        return self.function(batches)
+
+
+def map_arrow(
+    df: DataFrame,
+    function: Callable[[Batches], Batches],
+    schema: str,
+    keeps_caches: bool = False,
+) -> DataFrame:
     ship(df.sparkSession)
     if df.sparkSession.conf.get(BATCH_SETTING, None) is None:
         df.sparkSession.conf.set(BATCH_SETTING, str(BATCH_BYTES))
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(Task(function, keeps_caches), schema)
 
 
 class Scratch:

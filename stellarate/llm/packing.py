@@ -138,5 +138,8 @@ def pack(
     packed like others; no rows give no rows; other columns are not looked at.
     """
     return map_arrow(
-        docs.select("doc_id", "text"), Pack(tokenizer, capacity, open_sequences, end_id), COLUMNS
+        docs.select("doc_id", "text"),
+        Pack(tokenizer, capacity, open_sequences, end_id),
+        COLUMNS,
+        keeps_caches=True,
     )

@@ -378,7 +378,8 @@ def one_of_each(docs: DataFrame, scratch: Scratch, radius: int = RADIUS) -> Data
     )
     chosen = scratch.table(chosen, "chosen", keep=True)
     rows = docs.select(F.struct("*").alias("row")).withColumn("doc_id", F.col("row.doc_id"))
-    kept = rows.join(chosen, "doc_id")
+    # merged at every size, so that what is shuffled grows as the documents do
+    kept = rows.join(chosen.hint("merge"), "doc_id")
     once = kept.where("_rows = 1").select("row.*")
     repeated = kept.where("_rows > 1").dropDuplicates(["doc_id"]).select("row.*")
     return once.unionByName(repeated).unionByName(docs.where("doc_id IS NULL"))

@@ -202,9 +202,10 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
         docs.select("doc_id", "text"),
         Tokenize(tokenizer, end_id, sorted({int(b) for b in borders})),
         "part int, doc_id long, width byte, ids binary",
+        keeps_caches=True,
     )
     ordered = coded.repartition("part").sortWithinPartitions("part", "doc_id", "ids")
-    map_arrow(ordered, shards, SHARDS).write.parquet(path)
+    map_arrow(ordered, shards, SHARDS, keeps_caches=True).write.parquet(path)
 
 
 # ---- reading ----
@@ -245,4 +246,4 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     for part, n in totals:
         before[part] = ids
         ids += n
-    return map_arrow(found, Read(before), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_arrow(found, Read(before), "doc_id long, start long, n_tokens long, ids_crc32 long", True)

@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from stellarate.llm.cluster import caches
+
 #: Words kept; beyond it a new word is encoded once per batch and forgotten.
 MOST_WORDS = 400_000
 MOST_PARTS = 800_000
@@ -127,14 +129,11 @@ def stretches(text: str) -> Iterator[str]:
     yield text[at:] if at else text
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    """The encoder of a worker process; it lives as long as the process."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    """The encoder of a worker process; it stays until a task comes that needs none."""
+    if path not in caches:
+        caches[path] = WordEncoder(path)
+    return caches[path]
 
 
 def encode_column(path: str, column: pa.Array, end_id: int) -> Iterator[bytes]:
