@@ -6,7 +6,8 @@ features. A score reads the whole text.
 
 The classifier is fitted on at most ``MOST_LABELLED`` labelled documents, chosen by a
 digest of their ids, of which every row counts. Of the 2 ** ``BITS`` features those
-that separate the labels best enter the weights.
+that separate the labels best enter the weights. The bias puts the cut with the fewest
+mistakes at a score of ``THRESHOLD``.
 """
 
 from __future__ import annotations
@@ -179,6 +180,19 @@ def logistic(steps: np.ndarray, places: np.ndarray, y: np.ndarray, scale: np.nda
     return w, b
 
 
+def middle_cut(z: np.ndarray, y: np.ndarray) -> float:
+    """The cut of the log odds with the fewest mistakes; the middle of those with as few."""
+    order = np.argsort(z)
+    z, toxic = z[order], y[order] == 1
+    missed = np.append(0, np.cumsum(toxic))
+    wrong = missed + np.append(np.cumsum(~toxic[::-1])[::-1], 0)
+    best = np.flatnonzero(wrong == wrong.min())
+    at = best[len(best) // 2]
+    below = z[at - 1] if at else z[0] - 1
+    above = z[at] if at < len(z) else z[-1] + 1
+    return float(below + above) / 2
+
+
 def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Model:
     """Learn from the labelled rows (doc_id, toxic) of ``docs`` that are not held out.
 
@@ -221,10 +235,12 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Model:
     train = map_arrow(texts, KeepChosen(chosen), "label int, features array<int>").toArrow()
     lists = train.column("features").combine_chunks()
     steps = np.append(0, np.cumsum(pa.compute.list_value_length(lists).to_numpy()))
-    w, bias = logistic(
-        steps, lists.flatten().to_numpy(), train.column("label").to_numpy().astype(float), ratio
-    )
-    return Model(chosen, w * ratio, float(bias))
+    places, y = lists.flatten().to_numpy(), train.column("label").to_numpy().astype(float)
+    w, bias = logistic(steps, places, y, ratio)
+    row = np.repeat(np.arange(len(y)), np.diff(steps))
+    cut = middle_cut(np.bincount(row, (w * ratio)[places], len(y)) + bias, y)
+    # the best cut becomes the score that counts as toxic
+    return Model(chosen, w * ratio, float(bias - cut + np.log(THRESHOLD / (1 - THRESHOLD))))
 
 
 class Score:
