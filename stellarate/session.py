@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, reachable from all executors.
 
-    Only a local session without that setting gets a temporary folder; on a
+    Only a local session without that setting gets a temporary folder, which goes
+    when the process ends; on a
     cluster a missing setting is an error, because executors could not share it.
     """
     current = spark.sparkContext.getCheckpointDir()
@@ -25,6 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
     local = tempfile.mkdtemp(prefix="stellarate-")
+    atexit.register(shutil.rmtree, local, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(local)
     return local
 
