@@ -381,6 +381,17 @@ ORACLES: dict[str, str] = {
     "approximate_ranks": """
         SELECT c AS "column", s AS stat, true AS near
         FROM (VALUES ('o_custkey'), ('o_totalprice')) a(c), (VALUES ('25%'), ('50%'), ('75%')) b(s)""",
+    "model_features": f"""
+        SELECT review_id, (position + 1)::INT AS position, value FROM ({EXPLORATORY_FEATURES})
+        WHERE value <> 0
+        UNION ALL
+        SELECT review_id, 0::INT, scaled FROM (
+            SELECT review_id, CASE WHEN lo = hi THEN 0.5::DOUBLE
+                   ELSE round((business_review_count - lo) / (hi - lo)::DOUBLE, 9) END AS scaled
+            FROM ({REVIEW_FRAME} SELECT review_id, business_review_count,
+                  min(business_review_count) OVER () AS lo,
+                  max(business_review_count) OVER () AS hi FROM f))
+        WHERE scaled <> 0""",
     "model_checks": """
         SELECT unnest(['four grid points', 'one best point', 'best point is fitted',
             'predictions follow scores', 'coefficients are numbered', 'roc ends', 'roc rises',
@@ -516,6 +527,10 @@ ORACLES: dict[str, str] = {
                           AS level FROM part GROUP BY p_type)
         SELECT p_partkey, i.level, (part.p_type = i.p_type)::INT::DOUBLE AS is_level
         FROM part CROSS JOIN i""",
+    "one_hot_sparse": """
+        WITH i AS (SELECT p_type, (row_number() OVER (ORDER BY count(*) DESC, p_type) - 1)::INT
+                          AS level FROM part GROUP BY p_type)
+        SELECT p_partkey, level FROM part JOIN i USING (p_type)""",
     "min_max": """
         WITH s AS (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part)
         SELECT p_partkey, p_retailprice, 7 AS same,

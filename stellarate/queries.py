@@ -530,6 +530,17 @@ def one_hot(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def one_hot_sparse(spark: SparkSession, sf: str) -> DataFrame:
+    """The set levels only: one row per part, however many levels there are."""
+    parts = table(spark, sf, "part").select("p_partkey", "p_type")
+    stages = [
+        StringIndexer(inputCol="p_type", outputCol="type_index"),
+        OneHotEncoder(inputCol="type_index", outputCol="type_vector", dropLast=False),
+    ]
+    encoded = Pipeline(stages=stages).fit(parts).transform(parts)
+    return encoded.select("p_partkey", F.explode(F.unwrap_udt("type_vector")["indices"]).alias("level"))
+
+
 def scaled(spark: SparkSession, sf: str) -> DataFrame:
     prices = table(spark, sf, "part").select("p_partkey", "p_retailprice", F.lit(7).alias("same"))
     both = min_max(min_max(prices, "p_retailprice", "price_scaled"), "same", "same_scaled")
@@ -688,12 +699,24 @@ def scored_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 def exploratory_features(spark: SparkSession, sf: str) -> DataFrame:
     options = training.Options(handle_invalid="error")
-    featured = training.exploratory_features(review_frame(spark, sf), options)
+    frame = stored(review_frame(spark, sf), scratch_path(spark, "frame.parquet"))
+    featured = training.exploratory_features(frame, options)
     return featured.select(
         "review_id", F.posexplode(vector_to_array("features")).alias("position", "value")
     )
 
 
+def model_features(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole feature vector, scaled count first; entries that are not zero."""
+    options = training.Options(handle_invalid="error")
+    frame = stored(review_frame(spark, sf), scratch_path(spark, "frame.parquet"))
+    featured = Pipeline(stages=training.model_stages(options)).fit(frame).transform(frame)
+    entries = featured.select(
+        "review_id", F.posexplode(vector_to_array("features")).alias("position", "value")
+    )
+    return entries.where("value != 0").withColumn("value", F.round("value", 9))
+
+
 def model_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Rows the stored model scores differently from the stored predictions: none."""
     model, learn, predictions = trained(spark, sf)
@@ -776,6 +799,7 @@ QUERIES: dict[str, Query] = {
     "string_index": string_index,
     "index_labels": index_labels,
     "one_hot": one_hot,
+    "one_hot_sparse": one_hot_sparse,
     "min_max": scaled,
     "hashed_tfidf": hashed_tfidf,
     "training_frame": training_frame,
@@ -786,6 +810,7 @@ QUERIES: dict[str, Query] = {
     "coefficients": coefficients,
     "training_roc": training_roc,
     "model_checks": model_checks,
+    "model_features": model_features,
     "scored_labels": scored_labels,
     "exploratory_features": exploratory_features,
     "model_roundtrip": model_roundtrip,
