@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import weakref
 import zipfile
@@ -47,6 +48,14 @@ def ship(spark: SparkSession) -> None:
 caches: dict[object, object] = {}
 
 
+def give_back() -> None:
+    """Return what earlier tasks of this process freed to the system, where that is possible."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 class Task:
     """A function over batches; unless it uses the kept caches, they are dropped first."""
 
@@ -56,6 +65,7 @@ class Task:
     def __call__(self, batches: Batches) -> Batches:
         if not self.keeps_caches:
             caches.clear()
+        give_back()
         return self.function(batches)
 
 

@@ -21,7 +21,7 @@ CAPACITY = 4096
 OPEN = 2048
 END_ID = 1
 #: Pieces passed on at once, by their ids' bytes.
-BYTES_AT_ONCE = 16 << 20
+BYTES_AT_ONCE = 4 << 20
 
 SCHEMA = pa.schema(
     [

@@ -20,10 +20,10 @@ import pyarrow.compute as pc
 from stellarate.llm.cluster import caches
 
 #: Words kept; beyond it a new word is encoded once per batch and forgotten.
-MOST_WORDS = 400_000
-MOST_PARTS = 800_000
+MOST_WORDS = 100_000
+MOST_PARTS = 250_000
 #: Characters looked at together.
-CHARACTERS = 1 << 22
+CHARACTERS = 1 << 21
 
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 PLAIN = re.compile(rf"([{LETTERS}]+)([!-&(-/:-@\[-`{{-~]*)")
