@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stellarate.llm import decontamination, packing, quality_model, simhash, suffixes
+from stellarate.llm import decontamination, jaccard, packing, quality_model, simhash, suffixes
 from stellarate.llm.cluster import Scratch
 from stellarate.session import scratch_path
 
@@ -23,9 +23,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays, by fingerprints and by shingles."""
     with Scratch(spark) as scratch:
-        return simhash.one_of_each(docs, scratch)
+        return simhash.one_of_each(docs, scratch, further=jaccard.links(docs, scratch))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

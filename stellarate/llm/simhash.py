@@ -325,14 +325,16 @@ def links(prints: DataFrame, count: int, scratch: Scratch, radius: int = RADIUS)
         bits = SPLIT_BITS
 
 
-def near_copies(docs: DataFrame, scratch: Scratch, radius: int = RADIUS) -> DataFrame:
+def near_copies(
+    docs: DataFrame, scratch: Scratch, radius: int = RADIUS, further: DataFrame | None = None
+) -> DataFrame:
     """Every row of ``docs`` as (doc_id, fp, component_id).
 
     ``component_id`` is the smallest doc_id reachable over links, the row's own
     included. Null and blank texts have fingerprint 0 and are linked like any
     other; rows with a null doc_id keep it and lend no id to their component (null
     if it has no other). Repeated rows stay repeated; no rows give no rows; other
-    columns are not looked at.
+    columns are not looked at. ``further`` has links (a, b) of fingerprints to add.
     """
     prints = scratch.table(fingerprints(docs), "prints", keep=True)
     groups = scratch.table(
@@ -342,6 +344,8 @@ def near_copies(docs: DataFrame, scratch: Scratch, radius: int = RADIUS) -> Data
     )
     count, rows = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     edges = links(groups.select("fp"), count, scratch, radius)
+    if further is not None:
+        edges = edges.unionByName(further)
     roots = components(edges, scratch)
     member = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "low", F.coalesce("root", "fp").alias("root")
@@ -364,13 +368,15 @@ def hexed(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def one_of_each(docs: DataFrame, scratch: Scratch, radius: int = RADIUS) -> DataFrame:
+def one_of_each(
+    docs: DataFrame, scratch: Scratch, radius: int = RADIUS, further: DataFrame | None = None
+) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest doc_id.
 
     Rows that share a doc_id are taken for one document, of which one row stays.
     Rows with a null doc_id stay, as there is no id to choose by.
     """
-    found = near_copies(docs, scratch, radius)
+    found = near_copies(docs, scratch, radius, further)
     chosen = (
         found.where(F.col("doc_id") == F.col("component_id"))
         .groupBy("doc_id")
