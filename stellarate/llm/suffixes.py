@@ -48,7 +48,7 @@ LOWEST = -(1 << 63)
 WHOLE = 1 << 64
 
 REPEAT, UNIT, CANDIDATE, TEXT = 0, 1, 2, 3
-UNITS = "kind byte, anchor long, whole long, sides int, doc long, start int, shape long"
+UNITS = "kind byte, anchor long, whole long, sides int, doc long, start int, shape long, high long, low long"
 UNIT_SCHEMA = pa.schema(
     [
         ("kind", pa.int8()),
@@ -58,8 +58,14 @@ UNIT_SCHEMA = pa.schema(
         ("doc", pa.int64()),
         ("start", pa.int32()),
         ("shape", pa.int64()),
+        ("high", pa.int64()),
+        ("low", pa.int64()),
     ]
 )
+#: The 128 bits that, with the doc_id, tell texts apart: halves of a digest of the text.
+VERSION = ["high", "low"]
+#: Buckets of ids; only texts of buckets with a repeated id need a version.
+ID_BUCKETS = 1 << 16
 
 
 # ---- hashes ----
@@ -185,53 +191,66 @@ def sides_of(h: np.ndarray) -> np.ndarray:
     return h.astype(np.uint32).view(np.int32)
 
 
-def shape_of(windows: np.ndarray, place: np.ndarray, version: np.ndarray) -> np.ndarray:
-    """Windows, anchor place and version of the text in one number."""
-    return (version << 16) | (windows << 8) | place
+def shape_of(windows: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Windows and anchor place in one number."""
+    return (windows << 8) | place
 
 
-def unshape(shape: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return (shape >> 8) & 255, shape & 255, shape >> 16
+def unshape(shape: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (shape >> 8) & 255, shape & 255
 
 
-def versions(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """24 bits of a digest of each text: tells apart texts that share a doc_id."""
-    whole = data.tobytes()
-    return np.fromiter(
-        (
-            version_of(whole[a:b])
-            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())
-        ),
-        np.int64,
-        len(offsets) - 1,
-    )
+def shared_ids(docs: DataFrame) -> DataFrame:
+    """Column bucket: what of ``ID_BUCKETS`` hash buckets some repeated doc_id is in."""
+    counts = docs.select(doc_key()).groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
+    return counts.where("n > 1").select(id_bucket()).distinct()
+
+
+def doc_key():
+    return F.coalesce("doc_id", F.lit(LOWEST)).alias("doc")
+
 
+def id_bucket():
+    return F.pmod(F.xxhash64("doc"), F.lit(ID_BUCKETS)).cast("int").alias("bucket")
 
-def version_of(text: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(text, digest_size=3).digest(), "little")
 
+def versioned(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """``rows`` with columns high and low: an MD5 digest of the bytes of ``text``, null as
+    empty. Both are 0 where the bucket of the id is not in ``shared``, so the id is unique."""
+    digest = F.md5(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
+    known = F.broadcast(shared.withColumn("many", F.lit(True)))
+    found = rows.withColumn("bucket", id_bucket()).join(known, "bucket", "left")
+    return found.withColumns(
+        {
+            name: F.when(
+                F.col("many"), F.conv(F.substring(digest, at, 16), 16, -10).cast("long")
+            ).otherwise(F.lit(0).cast("long"))
+            for at, name in zip((1, 17), VERSION)
+        }
+    ).drop("bucket", "many")
 
-def joined_runs(doc, version, start, windows) -> list[np.ndarray]:
-    """Runs of windows as (doc, version, start, windows), with adjoining ones made one."""
+
+def joined_runs(doc, high, low, start, windows) -> list[np.ndarray]:
+    """Runs of windows as (doc, high, low, start, windows), with adjoining ones made one."""
     if not len(doc):
-        return [doc, version, start, windows]
-    order = np.lexsort((start, version, doc))
-    doc, version, start, windows = (c[order] for c in (doc, version, start, windows))
-    new = group_starts(doc, version)
+        return [doc, high, low, start, windows]
+    order = np.lexsort((start, low, high, doc))
+    doc, high, low, start, windows = (c[order] for c in (doc, high, low, start, windows))
+    new = group_starts(doc, high, low)
     new[1:] |= start[1:] > start[:-1] + windows[:-1]
     head = np.flatnonzero(new)
     end = np.maximum.reduceat(start + windows, head)
-    return [doc[head], version[head], start[head], end - start[head]]
+    return [doc[head], high[head], low[head], start[head], end - start[head]]
 
 
-def repeats(doc, version, start, windows) -> pa.RecordBatch:
+def repeats(doc, high, low, start, windows) -> pa.RecordBatch:
     """Rows for runs of repeated windows; ``whole`` has their number."""
-    doc, version, start, windows = joined_runs(doc, version, start, windows)
+    doc, high, low, start, windows = joined_runs(doc, high, low, start, windows)
     none = np.zeros(len(doc), np.int64)
-    spread = mixed(doc.view(np.uint64) ^ mixed(start.astype(np.uint64)))
+    spread = mixed((doc ^ high).view(np.uint64) ^ mixed(start.astype(np.uint64)))
     return batch(
         UNIT_SCHEMA, none + REPEAT, spread.view(np.int64), windows, none, doc, start,
-        shape_of(none, none, version),
+        shape_of(none, none), high, low,
     )
 
 
@@ -245,19 +264,23 @@ def group_starts(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
-def later_ones(anchor, whole, doc, start, shape) -> tuple[np.ndarray, np.ndarray]:
+def later_ones(anchor, whole, doc, start, shape, high, low) -> tuple[np.ndarray, np.ndarray]:
     """An order of the rows by unit and place, and True for those that repeat an earlier unit.
 
     Rows of the same unit at the same place (versions of a document) are not earlier
     than each other.
     """
-    order = np.lexsort((shape, start, doc, whole, anchor))
+    order = np.lexsort((low, high, shape, start, doc, whole, anchor))
     a, w, d, s = anchor[order], whole[order], doc[order], start[order]
     new = group_starts(a, w)
     lead = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
     return order, (d != d[lead]) | (s != s[lead])
 
 
+def repeated_units(doc, start, shape, high, low) -> pa.RecordBatch:
+    return repeats(doc, high, low, start, unshape(shape)[0])
+
+
 class FindUnits:
     """Texts to units; units that repeat one of the same batch come out as repeats."""
 
@@ -271,15 +294,14 @@ class FindUnits:
             found = list(find_units(data, offsets, self.crowded))
             if not found:
                 continue
-            version = versions(data, offsets)
+            high, low = (c.to_numpy() for c in rows.columns[2:])
             doc, start, windows, place, anchor, whole, sides = map(np.concatenate, zip(*found))
-            shape = shape_of(windows, place, version[doc])
-            doc = ids[doc]
-            order, later = later_ones(anchor, whole, doc, start, shape)
-            columns = [c[order] for c in (anchor, whole, sides, doc, start, shape)]
+            shape = shape_of(windows, place)
+            doc, high, low = ids[doc], high[doc], low[doc]
+            order, later = later_ones(anchor, whole, doc, start, shape, high, low)
+            columns = [c[order] for c in (anchor, whole, sides, doc, start, shape, high, low)]
             if later.any():
-                gone = unshape(columns[5][later])
-                yield repeats(columns[3][later], gone[2], columns[4][later], gone[0])
+                yield repeated_units(*(c[later] for c in columns[3:]))
             # the same unit of the same text twice: repeated rows
             keep = group_starts(columns[0], columns[1], *columns[3:]) & ~later
             yield batch(UNIT_SCHEMA, np.full(keep.sum(), UNIT, np.int8), *(c[keep] for c in columns))
@@ -318,9 +340,10 @@ def settle(batches: Batches) -> Batches:
     order, later = later_ones(columns[0], columns[1], *columns[3:])
     columns = [c[order] for c in columns]
     if later.any():
-        windows, _, version = unshape(columns[5][later])
-        yield repeats(columns[3][later], version, columns[4][later], windows)
-    columns = [c[~later] for c in columns]
+        yield repeated_units(*(c[later] for c in columns[3:]))
+    # repeated rows of different batches count once
+    keep = group_starts(columns[0], columns[1], *columns[3:]) & ~later
+    columns = [c[keep] for c in columns]
     anchor, whole, sides = columns[:3]
     pick = np.zeros(len(anchor), bool)
     for side in (sides & 0xFFFF, sides >> 16):
@@ -454,9 +477,9 @@ def compare(batches: Batches) -> Batches:
     if not held:
         return
     table = pa.Table.from_batches(held).combine_chunks()
-    anchor, doc, start, shape = (table.column(i).to_numpy() for i in range(4))
-    blob, offsets = binary_buffer(table.column(4))
-    windows, place, version = unshape(shape)
+    anchor, doc, start, shape, high, low = (table.column(i).to_numpy() for i in range(6))
+    blob, offsets = binary_buffer(table.column(6))
+    windows, place = unshape(shape)
     order = np.argsort(anchor, kind="stable")
     reach = SPAN - GRAM
     at = offsets[:-1] + place
@@ -477,7 +500,7 @@ def compare(batches: Batches) -> Batches:
     unit, before = np.nonzero(flags)
     unit = order[unit]
     begin = start[unit] + place[unit] - before
-    yield repeats(doc[unit], version[unit], begin, np.ones(len(unit), np.int64))
+    yield repeats(doc[unit], high[unit], low[unit], begin, np.ones(len(unit), np.int64))
 
 
 def binary_buffer(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -517,7 +540,7 @@ def spans_of(runs: np.ndarray) -> np.ndarray:
 
 
 class Cut:
-    """Rows sorted by document, repeats first and texts last, to one row per text.
+    """Rows sorted by document and version, repeats first and texts last, to one row per text.
 
     ``settled``: nothing is left to compare. Otherwise a text with candidates comes
     out as it is, with its repeats so far and its candidates' bytes.
@@ -527,11 +550,12 @@ class Cut:
         self.settled, self.keep_text = settled, keep_text
 
     def __call__(self, batches: Batches) -> Batches:
-        doc, runs, units = None, [], []
+        key, runs, units = None, [], []
         for rows in batches:
-            kind, docs = rows.column("kind").to_numpy(), rows.column("doc").to_numpy()
-            start, shape = rows.column("start").to_numpy(), rows.column("shape").to_numpy()
-            anchor, whole = rows.column("anchor").to_numpy(), rows.column("whole").to_numpy()
+            kind, start, shape, anchor, whole, *keys = (
+                rows.column(n).to_numpy()
+                for n in ("kind", "start", "shape", "anchor", "whole", "doc", *VERSION)
+            )
             texts, earlier, carry, void = (
                 rows.column(n) for n in ("text", "runs", "carry", "no_id")
             )
@@ -540,46 +564,41 @@ class Cut:
             ends = np.flatnonzero(kind == TEXT)
             at = 0
             for place in [*ends.tolist(), len(kind)]:
-                if at < place and docs[at] != doc:
-                    doc, runs, units = docs[at], [], []
+                first = min(at, place)
+                if first == len(kind):
+                    break
+                own = tuple(int(k[first]) for k in keys)
+                if own != key:
+                    key, runs, units = own, [], []
                 if at < place:
-                    version = unshape(shape[at:place])[2]
                     is_run = kind[at:place] == REPEAT
-                    block = np.stack([version, start[at:place], whole[at:place]], 1)
-                    runs.append(block[is_run])
+                    runs.append(np.stack([start[at:place], whole[at:place]], 1)[is_run])
                     if not is_run.all():
-                        units.append(np.stack([version, anchor[at:place], start[at:place], shape[at:place]], 1)[~is_run])
+                        units.append(np.stack([anchor[at:place], start[at:place], shape[at:place]], 1)[~is_run])
                 if place == len(kind):
                     break
-                if docs[place] != doc:
-                    doc, runs, units = docs[place], [], []
                 at = place + 1
-                out.append(self.one(doc, void[place].as_py(), texts[place].as_py() or b"", runs, units, earlier[place].as_py()))
+                out.append(self.one(key[0], void[place].as_py(), texts[place].as_py() or b"", runs, units, earlier[place].as_py()))
                 taken.append(place)
             if out:
                 yield self.rows(out, carry.take(pa.array(taken)))
 
     def one(self, doc, void, text: bytes, runs: list, units: list, earlier: bytes | None) -> list:
-        version = None
-        own = np.zeros((0, 2), np.int64)
-        if runs or units:
-            version = version_of(text)
-            if runs:
-                block = np.concatenate(runs)
-                own = block[block[:, 0] == version, 1:]
+        # what repeated rows of one text share is put together once
+        for held in (runs, units):
+            if len(held) > 1:
+                held[:] = [np.unique(np.concatenate(held), axis=0)]
+        own = runs[0] if runs else np.zeros((0, 2), np.int64)
         if earlier:
             own = np.concatenate([own, np.frombuffer(earlier, np.int64).reshape(-1, 2)])
         doc_id = None if void else int(doc)
         if units and not self.settled:
-            block = np.concatenate(units)
-            block = block[block[:, 0] == version, 1:]
-            if len(block):
-                windows = (block[:, 2] >> 8) & 255
-                open_ = [
-                    {"anchor": a, "start": s, "shape": h, "bytes": text[s : s + w + SPAN - 1]}
-                    for (a, s, h), w in zip(block.tolist(), windows.tolist())
-                ]
-                return [doc_id, None, None, None, None, None, None, text, own.tobytes(), open_]
+            windows = (units[0][:, 2] >> 8) & 255
+            open_ = [
+                {"anchor": a, "start": s, "shape": h, "bytes": text[s : s + w + SPAN - 1]}
+                for (a, s, h), w in zip(units[0].tolist(), windows.tolist())
+            ]
+            return [doc_id, None, None, None, None, None, None, text, own.tobytes(), open_]
         spans = spans_of(own)
         digest, kept, done = hashlib.sha256(), [], 0
         view = memoryview(text)
@@ -645,14 +664,16 @@ def remove_repeats(
     each; rows that share a doc_id but not the text are versions of one document, and
     a string at a smaller place of either is the earlier one.
     """
-    key = F.coalesce("doc_id", F.lit(LOWEST)).alias("doc")
-    plain = docs.select("doc_id", "text")
-    units = map_arrow(plain, FindUnits(crowded_anchors(plain)), UNITS)
+    key = doc_key()
+    shared = scratch.table(shared_ids(docs), "shared", keep=True)
+    plain = versioned(docs.select("doc_id", key, "text"), shared)
+    units = map_arrow(plain.select("doc_id", "text", *VERSION), FindUnits(crowded_anchors(docs)), UNITS)
     is_candidate = F.col("kind") == CANDIDATE
     settled = scratch.table(
         map_arrow(units.repartition("anchor"), settle, UNITS).select(
             "kind",
             "doc",
+            *VERSION,
             "start",
             "shape",
             F.when(is_candidate, F.col("anchor")).otherwise(0).alias("anchor"),
@@ -674,21 +695,23 @@ def remove_repeats(
         F.lit(None).cast("binary").alias("runs"),
         carried.alias("carry"),
     )
+    texts = versioned(texts, shared)
     kind_of_carry = texts.schema["carry"].dataType.simpleString()
 
     def cut(parts: DataFrame, settled: bool) -> DataFrame:
         schema = f"{DONE}{'' if settled else ', ' + OPEN}, carry {kind_of_carry}"
         return map_arrow(
-            parts.repartition("doc").sortWithinPartitions("doc", "kind"),
+            parts.repartition("doc", *VERSION).sortWithinPartitions("doc", *VERSION, "kind"),
             Cut(settled, keep_text),
             schema,
         )
 
     first = scratch.table(cut(settled.unionByName(texts, True), False), "cut", keep=True)
     opened = first.where("units IS NOT NULL")
-    candidates = opened.select("doc_id", F.explode("units").alias("u")).select(
-        "u.anchor", key, "u.start", "u.shape", "u.bytes"
+    candidates = versioned(opened.select(key, "text", "units"), shared).select(
+        "doc", *VERSION, F.explode("units").alias("u")
     )
+    candidates = candidates.select("u.anchor", "doc", "u.start", "u.shape", *VERSION, "u.bytes")
     more = map_arrow(candidates.repartition("anchor"), compare, UNITS)
     rest = opened.select(
         F.lit(TEXT).cast("byte").alias("kind"),
@@ -702,7 +725,8 @@ def remove_repeats(
         "runs",
         "carry",
     )
-    more = more.select("kind", "doc", "start", "shape", F.lit(0).cast("long").alias("anchor"), "whole")
+    rest = versioned(rest, shared)
+    more = more.select("kind", "doc", *VERSION, "start", "shape", F.lit(0).cast("long").alias("anchor"), "whole")
     second = cut(more.unionByName(rest, True), True)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans", "carry"]
     return first.where("units IS NULL").select(*names).unionByName(second.select(*names))

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -130,3 +131,27 @@ def test_text_and_other_columns_stay(spark):
     common.same(
         rows_, [(row[0], kept, len(kept), "src0") for row, kept in common.repeats(rows)]
     )
+
+
+def test_texts_of_one_id_are_told_apart_by_all_bits(spark):
+    """Two texts under a null doc_id whose digests agree in 24 bits keep their own repeats."""
+    seen: dict = {}
+    passage, base = common.prose(1, 60), common.prose(2, 60)
+    for n in range(100_000):
+        text = f"{base} {n}" if n % 2 else f"{n} {passage} {base[:20]}"
+        digest = hashlib.blake2b(text.encode(), digest_size=3).digest()
+        if seen.setdefault(digest, text)[0].isdigit() != text[0].isdigit():
+            break
+    else:
+        pytest.fail("no pair of texts")
+    rows = [(None, seen[digest]), (None, text), (None, f"x{passage}"), (1, None)]
+    common.same(found(spark, rows), [(*row, kept) for row, kept in common.repeats(rows)])
+
+
+def test_rows_of_a_null_id_spread_over_tasks(spark):
+    rows = [(None, common.prose(i, 40)) for i in range(200)]
+    docs = common.docs_of(spark, [*rows, (1, rows[0][1])])
+    keyed = docs.select(suffixes.doc_key(), "text")
+    dealt = suffixes.versioned(keyed, suffixes.shared_ids(docs)).repartition(8, "doc", *suffixes.VERSION)
+    assert [(r.high, r.low) for r in dealt.where("doc = 1").collect()] == [(0, 0)]
+    assert max(len(p) for p in dealt.rdd.glom().collect()) < 60
