@@ -79,8 +79,17 @@ def test_tokens_and_stop_words_are_those_of_spark_ml(spark):
         assert row["ml"] == row["t"] and row["ml_kept"] == row["k"]
 
 
-def test_stop_word_list_is_the_default(spark):
-    assert text.ENGLISH_STOP_WORDS == StopWordsRemover.loadDefaultStopWords("english")
+def test_each_stop_word_goes_as_spark_ml_takes_it_out(spark):
+    """Every default stop word by itself, in capitals too, and words that are none."""
+    listed = StopWordsRemover.loadDefaultStopWords("english")
+    assert len(listed) > 100
+    words = [*listed, *[w.upper() for w in listed], "", "kit", "don", "d", "ll", "notable", "they've got"]
+    rows = spark.createDataFrame([([w],) for w in words], "words array<string>")
+    rows = StopWordsRemover(inputCol="words", outputCol="ml").transform(rows)
+    got = rows.select("words", "ml", text.remove_stop_words(F.col("words")).alias("own")).collect()
+    assert len(got) == len(words)
+    assert [r.words[0] for r in got if r.ml != r.own] == []
+    assert {r.words[0] for r in got if r.own == []} >= set(listed)
 
 
 @pytest.mark.parametrize(
