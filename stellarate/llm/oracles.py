@@ -130,8 +130,74 @@ SELECT page_id, host, path, rule,
 FROM ({ruled('page')}) LEFT JOIN alias ON alias.a = node
 """
 
+# crc32 of the decimal id, bit by bit from the lowest of each byte
+CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+    flatten([[(ord(c) >> k) & 1 for k in range(8)] for c in string_split(doc_id::VARCHAR, '')])),
+    lambda crc, bit: xor(crc >> 1, 3988292384::BIGINT * (xor(crc, bit) & 1))))"""
+
+
+def fields(*names: str) -> str:
+    return " || ".join(
+        f"coalesce(octet_length(encode(({n})::VARCHAR)) || ':' || ({n})::VARCHAR, '-')" for n in names
+    )
+
+
+OP12 = f"""
+WITH RECURSIVE leaf AS (SELECT doc_id, lang, row_number() OVER (
+        PARTITION BY lang ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, h, changed
+    FROM (SELECT doc_id, lang, sha256({fields('doc_id', 'source', 'lang', 'n_chars', 'text')}) AS h,
+        CASE WHEN {CRC32} % 7 = 0 AND n_chars IS NOT NULL THEN
+            sha256({fields('doc_id', 'source', 'lang', 'n_chars + 1', 'text')}) END AS changed
+        FROM documents)),
+tree AS (SELECT 0 AS up, lang, pos, h, count(*) OVER (PARTITION BY lang) AS n FROM leaf
+    UNION ALL SELECT up + 1, lang, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2
+    FROM tree WHERE n > 1 GROUP BY up, lang, pos // 2, n),
+top AS (SELECT lang, h AS subroot, up AS rise,
+    row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS place FROM tree WHERE n = 1),
+crown AS (SELECT 0 AS up, place AS pos, subroot AS h, count(*) OVER () AS n FROM top
+    UNION ALL SELECT up + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2
+    FROM crown WHERE n > 1 GROUP BY up, pos // 2, n),
+every AS (SELECT t.lang, t.up, t.pos, t.h FROM tree t JOIN top ON t.lang IS NOT DISTINCT FROM top.lang
+        WHERE t.up < top.rise
+    UNION ALL SELECT top.lang, top.rise + c.up, c.pos, c.h FROM top JOIN crown c ON c.n > 1),
+walk AS (SELECT doc_id, leaf.lang, pos AS start, h AS leaf, 0 AS up, pos, place, subroot, rise,
+        coalesce(changed, h) AS seen, '' AS proof
+        FROM leaf JOIN top ON leaf.lang IS NOT DISTINCT FROM top.lang
+    UNION ALL SELECT doc_id, w.lang, start, leaf, w.up + 1, here // 2, place, subroot, rise,
+        CASE WHEN e.h IS NULL THEN sha256(seen) WHEN here % 2 = 1 THEN sha256(e.h || seen)
+            ELSE sha256(seen || e.h) END, proof || coalesce(e.h, '')
+    FROM (SELECT *, CASE WHEN up = rise THEN place ELSE pos END AS here FROM walk
+        WHERE up < rise + (SELECT max(up) FROM crown)) w
+    LEFT JOIN every e ON w.lang IS NOT DISTINCT FROM e.lang AND w.up = e.up
+        AND e.pos = CASE WHEN here % 2 = 1 THEN here - 1 ELSE here + 1 END)
+SELECT doc_id, leaf, subroot, c.h AS root, sha256(proof) AS proof_sha256, seen AS folded_root,
+    seen = c.h AS verified
+FROM walk, (SELECT up, h FROM crown WHERE n = 1) c WHERE walk.up = rise + c.up
+"""
+
+TERMS = f"regexp_extract_all({AZ.format('text')}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+OP13 = f"""
+WITH doc AS (SELECT row_number() OVER () AS d, doc_id, {TERMS} AS w FROM documents),
+total AS (SELECT count(*)::BIGINT AS N, sum(len(w))::BIGINT AS L FROM doc WHERE len(w) > 0),
+tf AS (SELECT d, t, count(*) AS tf FROM (SELECT d, unnest(w) AS t FROM doc) GROUP BY d, t),
+item AS (SELECT i, item_id, unnest(list_distinct(w)) AS t FROM (
+    SELECT row_number() OVER () AS i, item_id, {TERMS} AS w FROM benchmark)),
+weight AS (SELECT t, floor(1000 * ln((2 * N + 2) / (2 * df + 1)))::BIGINT AS w FROM (
+    SELECT t, count(*) AS df FROM tf WHERE t IN (SELECT t FROM item) GROUP BY t), total),
+impact AS (SELECT d, t, (1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(doc.w) * N) // L)) AS v
+    FROM tf JOIN doc USING (d), total WHERE t IN (SELECT t FROM item)),
+score AS (SELECT i, item_id, d, sum(w * v)::BIGINT AS score
+    FROM item JOIN weight USING (t) JOIN impact USING (t) GROUP BY i, item_id, d),
+placed AS (SELECT item_id, row_number() OVER (
+        PARTITION BY i ORDER BY score DESC, doc_id NULLS FIRST)::INTEGER AS rank, doc_id, score
+    FROM score JOIN doc USING (d) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 50
+"""
+
 ORACLES: dict[str, str] = {
     "op1_license_scan": OP1,
     "op6_url_rules": OP6,
     "op8_decontamination": OP8,
+    "op12_merkle_manifest": OP12,
+    "op13_ranked_search": OP13,
 }

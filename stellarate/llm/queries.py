@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from stellarate.llm import (
     decontamination,
+    lexical,
     license,
+    merkle,
     packing,
     quality_model,
     quality_rules,
@@ -98,6 +100,19 @@ def op10_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op12_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    with Scratch(spark) as scratch:
+        made = merkle.manifest(table(spark, sf, "documents"), scratch)
+        return merkle.proofs(made, scratch)
+
+
+def op13_ranked_search(spark: SparkSession, sf: str) -> DataFrame:
+    with Scratch(spark) as scratch:
+        return lexical.search(
+            table(spark, sf, "documents"), table(spark, sf, "benchmark"), scratch
+        )
+
+
 QUERIES: dict[str, Query] = {
     "op1_license_scan": op1_license_scan,
     "op2_simhash": op2_simhash,
@@ -109,4 +124,6 @@ QUERIES: dict[str, Query] = {
     "op8_decontamination": op8_decontamination,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_ranked_search": op13_ranked_search,
 }
