@@ -130,6 +130,22 @@ SELECT page_id, host, path, rule,
 FROM ({ruled('page')}) LEFT JOIN alias ON alias.a = node
 """
 
+OP11 = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS i, vec_id, label, embedding::DOUBLE[] AS e,
+    embedding IS NOT NULL AND len(embedding) > 0 AND label IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x != 0)) > 0 AS good FROM embeddings),
+link AS (SELECT x.i AS a, y.i AS b FROM v x JOIN v y
+    ON x.label = y.label AND x.i != y.i AND len(x.e) = len(y.e)
+    WHERE x.good AND y.good AND list_cosine_similarity(x.e, y.e) >= 0.93),
+reach AS (SELECT i AS a, i AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+low AS (SELECT a, min(vec_id) AS component_id FROM reach JOIN v ON b = i GROUP BY a),
+degree AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id,
+    vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM v JOIN low ON low.a = i LEFT JOIN degree ON degree.a = i
+"""
+
 # crc32 of the decimal id, bit by bit from the lowest of each byte
 CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
     flatten([[(ord(c) >> k) & 1 for k in range(8)] for c in string_split(doc_id::VARCHAR, '')])),
@@ -198,6 +214,7 @@ ORACLES: dict[str, str] = {
     "op1_license_scan": OP1,
     "op6_url_rules": OP6,
     "op8_decontamination": OP8,
+    "op11_embedding_links": OP11,
     "op12_merkle_manifest": OP12,
     "op13_ranked_search": OP13,
 }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stellarate.llm import (
     decontamination,
+    embedding_links,
     lexical,
     license,
     merkle,
@@ -100,6 +101,11 @@ def op10_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op11_embedding_links(spark: SparkSession, sf: str) -> DataFrame:
+    with Scratch(spark) as scratch:
+        return embedding_links.linked(table(spark, sf, "embeddings"), scratch)
+
+
 def op12_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
     with Scratch(spark) as scratch:
         made = merkle.manifest(table(spark, sf, "documents"), scratch)
@@ -124,6 +130,7 @@ QUERIES: dict[str, Query] = {
     "op8_decontamination": op8_decontamination,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_embedding_links": op11_embedding_links,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_ranked_search": op13_ranked_search,
 }
