@@ -305,6 +305,91 @@ SELECT review_id, (good + (SELECT max(width) FROM a) + (SELECT max(width) FROM n
 FROM f CROSS JOIN (VALUES (0), (1)) AS g(good)
 """
 
+def product(x: str, factor: int) -> str:
+    return f"((({x}) * {factor}::UBIGINT) & 4294967295::UBIGINT)"
+
+
+def rotated(x: str, bits: int) -> str:
+    return f"(((({x}) << {bits}) | (({x}) >> {32 - bits})) & 4294967295::UBIGINT)"
+
+
+def bucket_of(token: str, buckets: int = 4096) -> str:
+    """The bucket of a token without letters beyond ASCII: its murmur3 hash of 32 bits, seed 42."""
+
+    def scrambled(x: str) -> str:
+        return product(rotated(product(x, 0xCC9E2D51), 15), 0x1B873593)
+
+    codes = f"[ord(c)::UBIGINT for c in string_split({token}, '')]"
+    blocks = "[" + scrambled("b[4*i+1] + 256 * b[4*i+2] + 65536 * b[4*i+3] + 16777216 * b[4*i+4]") + (
+        " for i in range(len(b) // 4)]"
+    )
+    step = product(rotated("xor(h, k)", 13), 5)
+    body = f"list_reduce(list_prepend(42::UBIGINT, {blocks}), lambda h, k: ({step} + 3864292196) & 4294967295)"
+    rest = " + ".join(
+        f"CASE WHEN len(b) % 4 > {i} THEN {256**i}::UBIGINT * b[len(b) - len(b) % 4 + {i + 1}] ELSE 0::UBIGINT END"
+        for i in range(3)
+    )
+    mixed = f"xor(xor({body}, {scrambled(rest)}), len(b)::UBIGINT)"
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+        mixed = f"[{product('xor(z, z >> ' + str(shift) + ')', factor)} for z in [{mixed}]][1]"
+    return f"(list_transform([{codes}], lambda b: {mixed})[1] % {buckets})::INT"
+
+
+TOKEN_COUNTS = f"""WITH w AS (SELECT doc_id, unnest({kept("text")}) AS token FROM documents),
+t AS (SELECT doc_id, token, count(*) AS tf FROM w GROUP BY ALL),
+v AS (SELECT token, count(*) AS df, sum(tf)::BIGINT AS total FROM t GROUP BY token),
+i AS (SELECT *, {bucket_of("token")} AS bucket FROM v)"""
+BUCKET_COUNTS = f"""{TOKEN_COUNTS}
+SELECT doc_id, bucket, sum(tf)::BIGINT AS count FROM t JOIN i USING (token) GROUP BY doc_id, bucket
+"""
+HASHED_TFIDF = f"""
+WITH w AS (SELECT doc_id, unnest({kept("revised")}) AS token
+    FROM (SELECT doc_id, {expanded("text")} AS revised FROM {CONTRACTED_DOCUMENTS})),
+i AS (SELECT token, {bucket_of("token")} AS bucket FROM (SELECT DISTINCT token FROM w)),
+t AS (SELECT doc_id, bucket, count(*) AS tf FROM w JOIN i USING (token) GROUP BY ALL),
+f AS (SELECT bucket, count(*) AS df FROM t GROUP BY bucket),
+m AS (SELECT count(*) AS rows FROM documents)
+SELECT doc_id, bucket, round(tf * ln((rows + 1)::DOUBLE / (df + 1)), 6) AS weight
+FROM t JOIN f USING (bucket), m
+"""
+
+LEARN = f"""{REVIEW_FRAME},
+l AS (SELECT *, (review_stars > 2.999)::INT AS label FROM f WHERE {draw("review_id")} < '{threshold(0.7)}'),
+share AS (SELECT count(*) AS rows, avg(label) AS p FROM l)"""
+
+
+def named_levels(vector: str, column: str, first: str) -> str:
+    """The features of one category in order: its levels by falling frequency, then the unknown."""
+    return f"""SELECT {first} + row_number() OVER (ORDER BY n DESC, v) AS i, '{vector}_' || v AS name
+        FROM (SELECT {column} AS v, count(*) AS n FROM l GROUP BY v
+              UNION ALL SELECT '__unknown', 0)"""
+
+
+FOLD_DRAW = "substr(md5(concat_ws('|', review_id, '43')), 1, 8)"
+FOLD_STATISTICS = f"""{REVIEW_FRAME},
+own AS (SELECT *, ({FOLD_DRAW} >= '{THIRDS[0]}')::INT + ({FOLD_DRAW} >= '{THIRDS[1]}')::INT AS own_fold
+    FROM f),
+words AS (SELECT doc_id::VARCHAR AS review_id, unnest({kept("revised")}) AS token
+    FROM (SELECT doc_id, {expanded("text")} AS revised FROM documents JOIN labels USING (doc_id))),
+buckets AS (SELECT token, {bucket_of("token")} AS bucket FROM (SELECT DISTINCT token FROM words)),
+seen AS (
+    SELECT own_fold, 'rows' AS kind, '' AS key, business_review_count::DOUBLE AS x FROM own
+    UNION ALL SELECT own_fold, 'business_ambience', business_ambience, NULL FROM own
+    UNION ALL SELECT own_fold, 'business_noiselevel', business_noiselevel, NULL FROM own
+    UNION ALL SELECT own_fold, 'term', bucket::VARCHAR, NULL FROM
+        (SELECT DISTINCT review_id, bucket FROM words JOIN buckets USING (token)) JOIN own USING (review_id))
+SELECT fold::INT AS fold, kind, key, count(*) AS n, min(x) AS lo, max(x) AS hi
+FROM seen, range(3) r(fold) WHERE fold != own_fold GROUP BY ALL
+"""
+
+COEFFICIENT_NAMES = f"""{LEARN}, names AS (
+    SELECT 0 AS i, 'countScaled_0' AS name
+    UNION ALL {named_levels("ambienceVector", "business_ambience", "1000")}
+    UNION ALL {named_levels("noiseVector", "business_noiselevel", "2000")}
+    UNION ALL SELECT * FROM (VALUES (3000, 'starVector_0'), (3001, 'starVector_1')))
+SELECT (row_number() OVER (ORDER BY i) - 1)::INT AS idx, name FROM names
+"""
+
 ORACLES: dict[str, str] = {
     "confusion": f"""
         SELECT label, count(*) FILTER (prediction = 0) AS predicted_0,
@@ -396,6 +481,20 @@ ORACLES: dict[str, str] = {
         SELECT unnest(['four grid points', 'one best point', 'best point is fitted',
             'predictions follow scores', 'coefficients are numbered', 'roc ends', 'roc rises',
             'roc area is the auc']) AS "check", true AS holds""",
+    "fit_optimality": f"""{LEARN}
+        SELECT reg::DOUBLE AS reg_param, net::DOUBLE AS elastic_net_param, rows, true AS optimal,
+               CASE WHEN reg = 1 AND net = 1 THEN 0::BIGINT END AS nonzero,
+               CASE WHEN reg = 1 AND net = 1 THEN round(ln(p / (1 - p)), 6) END AS intercept
+        FROM share, (VALUES (0), (1)) r(reg), (VALUES (0), (1)) e(net)""",
+    "fold_statistics": FOLD_STATISTICS,
+    "null_point_scores": f"""{LEARN}
+        SELECT review_id, (review_stars > 2.999)::INT::DOUBLE AS label,
+               (p > 0.5)::INT::DOUBLE AS prediction, round(p, 9) AS score
+        FROM f, share WHERE {draw("review_id")} >= '{threshold(0.7)}'""",
+    "coefficient_names": COEFFICIENT_NAMES,
+    "expression_scores": f"""{REVIEW_FRAME}
+        SELECT review_id, true AS same_score, true AS same_prediction FROM f
+        WHERE {draw("review_id")} >= '{threshold(0.7)}'""",
     "scored_labels": f"""{REVIEW_FRAME}
         SELECT review_id, (review_stars > 2.999)::INT::DOUBLE AS label, true AS scored FROM f
         WHERE {draw("review_id")} >= '{threshold(0.7)}'""",
@@ -511,6 +610,14 @@ ORACLES: dict[str, str] = {
         FROM (SELECT doc_id, {kept("revised")} AS k
               FROM (SELECT doc_id, {expanded("text")} AS revised FROM {CONTRACTED_DOCUMENTS}))""",
     "token_tfidf": TFIDF,
+    "hashed_tfidf": HASHED_TFIDF,
+    "bucket_index": f"""{TOKEN_COUNTS} SELECT token, df, total, bucket FROM i""",
+    "bucket_terms": f"""{TOKEN_COUNTS}
+        SELECT bucket, count(*) AS terms, sum(total)::BIGINT AS total,
+               array_to_string(list(token ORDER BY total DESC, token)[1:3], ',') AS examples
+        FROM i GROUP BY bucket""",
+    "bucket_counts": BUCKET_COUNTS,
+    "vector_counts": BUCKET_COUNTS,
     "binarize": """
         SELECT p_partkey, (p_size > 2.999)::INT::DOUBLE AS label,
                (nullif(p_size, 1) > 25)::INT::DOUBLE AS large FROM part""",

@@ -15,7 +15,7 @@ from stellarate.functions import sampling, text
 from stellarate.functions.numbers import binarize
 from stellarate.operators import columns as cols
 from stellarate.operators import distributions as dist
-from stellarate.operators import evaluation, joins
+from stellarate.operators import evaluation, hashing, joins
 from stellarate.operators import profile as prof
 from stellarate.operators.encoding import category_index, index_categories, min_max
 from stellarate.operators.tfidf import token_tfidf
@@ -556,9 +556,42 @@ def hashed_tfidf(spark: SparkSession, sf: str) -> DataFrame:
     terms = stored(terms.select("doc_id", "word_features"), scratch_path(spark, "terms.parquet"))
     weighted = training.weight_stage(options).fit(terms).transform(terms)
     vectors = weighted.select("doc_id", F.unwrap_udt("IDF_features").alias("vector"))
-    return vectors.select(
+    entries = vectors.select(
         "doc_id", F.inline(F.arrays_zip("vector.indices", "vector.values"))
     ).toDF("doc_id", "bucket", "weight")
+    return rounded(entries, 6, "weight")
+
+
+def stored_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, terms) of the documents, tokenised once and written."""
+    words = text.remove_stop_words(text.tokenize(F.col("text")))
+    counted = table(spark, sf, "documents").select("doc_id", text.term_counts(words).alias("terms"))
+    return stored(counted, scratch_path(spark, "terms.parquet"))
+
+
+def bucket_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The hash bucket of every distinct term."""
+    return hashing.bucket_index(hashing.vocabulary(stored_terms(spark, sf)))
+
+
+def bucket_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """The terms behind every bucket that has any."""
+    index = hashing.bucket_index(hashing.vocabulary(stored_terms(spark, sf)))
+    return hashing.bucket_terms(index, 3).withColumn("examples", F.concat_ws(",", "examples"))
+
+
+def bucket_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Hashed term counts of the documents, from counts of the terms and the index."""
+    terms = stored_terms(spark, sf)
+    index = stored(hashing.bucket_index(hashing.vocabulary(terms)), scratch_path(spark, "index.parquet"))
+    return hashing.bucket_counts(terms, index)
+
+
+def vector_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """The same counts, from the vectors of the pipeline's text stages."""
+    documents = table(spark, sf, "documents").withColumnRenamed("text", "revised_text")
+    hashed = PipelineModel(stages=training.term_stages(training.Options())).transform(documents)
+    return hashing.vector_counts(hashed)
 
 
 # ---- training: documents as reviews, their sources as businesses ----
@@ -691,6 +724,59 @@ def model_checks(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(list(holds.items()), "check string, holds boolean")
 
 
+def fit_optimality(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether each grid point is at its optimum, on the rows it was fitted on.
+
+    At (1, 1) the optimum is known: no coefficient, and the log odds as the intercept.
+    """
+    frame = stored(review_frame(spark, sf), scratch_path(spark, "frame.parquet"))
+    learn, _ = training.split_frame(frame)
+    points = training.grid_optimality(learn)
+    null_point = (F.col("reg_param") == 1) & (F.col("elastic_net_param") == 1)
+    return points.select(
+        "reg_param",
+        "elastic_net_param",
+        "rows",
+        (F.col("residual") < 1e-4).alias("optimal"),
+        F.when(null_point, F.col("nonzero")).alias("nonzero"),
+        F.when(null_point, F.round("intercept", 6)).alias("intercept"),
+    )
+
+
+def fold_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    """What the feature stages, text included, learn on the training side of each fold."""
+    terms = PipelineModel(stages=training.term_stages(WITH_TEXT)).transform(review_frame(spark, sf))
+    folded = training.with_folds(terms, WITH_TEXT)
+    return training.fold_statistics(folded, WITH_TEXT)
+
+
+def null_point_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of the test rows by the model of the grid point (1, 1)."""
+    options = training.Options(reg_params=(1.0,), elastic_net_params=(1.0,), validate=False)
+    _, _, predictions = trained(spark, sf, options)
+    scored = training.with_score(predictions)
+    return rounded(scored.select("review_id", "label", "prediction", "score"), 9, "score")
+
+
+def coefficient_names(spark: SparkSession, sf: str) -> DataFrame:
+    """The features of the coefficient table, in the order of the vector."""
+    model, _, predictions = trained(spark, sf)
+    return training.coefficients(model, predictions).select("idx", "name")
+
+
+def expression_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the coefficients, taken by name over raw columns, give the scores of the pipeline."""
+    model, _, predictions = trained(spark, sf)
+    named = training.coefficients(model, predictions)
+    expression = training.score_expression(model, named)
+    scored = training.with_score(predictions).withColumn("again", expression)
+    return scored.select(
+        "review_id",
+        (F.abs(F.col("again") - F.col("score")) < 1e-9).alias("same_score"),
+        ((F.col("again") > 0.5) == (F.col("prediction") == 1)).alias("same_prediction"),
+    )
+
+
 def scored_labels(spark: SparkSession, sf: str) -> DataFrame:
     """Label and share of the test rows of the same run as ``train_score``."""
     _, _, predictions = trained(spark, sf)
@@ -802,6 +888,10 @@ QUERIES: dict[str, Query] = {
     "one_hot_sparse": one_hot_sparse,
     "min_max": scaled,
     "hashed_tfidf": hashed_tfidf,
+    "bucket_index": bucket_index,
+    "bucket_terms": bucket_terms,
+    "bucket_counts": bucket_counts,
+    "vector_counts": vector_counts,
     "training_frame": training_frame,
     "train_score": train_score,
     "train_text": train_text,
@@ -811,6 +901,11 @@ QUERIES: dict[str, Query] = {
     "training_roc": training_roc,
     "model_checks": model_checks,
     "model_features": model_features,
+    "fit_optimality": fit_optimality,
+    "fold_statistics": fold_statistics,
+    "null_point_scores": null_point_scores,
+    "coefficient_names": coefficient_names,
+    "expression_scores": expression_scores,
     "scored_labels": scored_labels,
     "exploratory_features": exploratory_features,
     "model_roundtrip": model_roundtrip,
