@@ -20,25 +20,22 @@ from stellarate.operators.ordered import ValueCounts
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """Rows per value, nulls left out."""
-    return (
-        df.where(F.col(column).isNotNull())
-        .groupBy(column)
-        .agg(F.count(F.lit(1)).alias("count"))
-    )
+    value = F.col(f"`{column}`")
+    return df.where(value.isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("count"))
 
 
 def top_values(df: DataFrame, column: str, k: int = 10) -> DataFrame:
     """The ``k`` most frequent values; equal counts are ordered by value."""
-    return value_counts(df, column).orderBy(F.desc("count"), column).limit(k)
+    return value_counts(df, column).orderBy(F.desc("count"), F.col(f"`{column}`")).limit(k)
 
 
 def first_rows(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
-    return df.orderBy(*order).limit(n)
+    return df.orderBy(*[F.col(f"`{name}`") for name in order]).limit(n)
 
 
 def last_rows(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     """The last ``n`` rows by ``order``, latest first."""
-    return df.orderBy(*[F.desc(name) for name in order]).limit(n)
+    return df.orderBy(*[F.col(f"`{name}`").desc() for name in order]).limit(n)
 
 
 def _values(df: DataFrame, column: str) -> DataFrame:

@@ -629,6 +629,20 @@ ORACLES: dict[str, str] = {
         SELECT p_name, count(*) AS count,
                (row_number() OVER (ORDER BY count(*) DESC, p_name) - 1)::DOUBLE AS name_index
         FROM part GROUP BY p_name""",
+    "index_unseen": """
+        WITH g AS (SELECT p_partkey, CASE WHEN p_size <> 7 THEN p_brand END AS p_brand FROM part),
+        i AS (SELECT p_brand, (row_number() OVER (ORDER BY count(*) DESC, p_brand) - 1)::DOUBLE AS n
+              FROM g WHERE p_brand NOT LIKE '%5' GROUP BY p_brand)
+        SELECT 'skip' AS mode, p_partkey, p_brand, n AS brand_index FROM g JOIN i USING (p_brand)
+        UNION ALL SELECT 'error', p_partkey, p_brand, n FROM g JOIN i USING (p_brand)
+        UNION ALL SELECT 'keep', p_partkey, p_brand, coalesce(n, (SELECT count(*) FROM i))
+        FROM g LEFT JOIN i USING (p_brand)""",
+    "scale_unseen": """
+        WITH s AS (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi,
+                          min(p_size) AS a, max(p_size) AS b FROM part WHERE p_size <= 30)
+        SELECT p_partkey, round((p_retailprice - lo) / (hi - lo), 9) AS price_scaled,
+               round(least(1, greatest(0, (p_size - a)::DOUBLE / (b - a))), 9) AS size_scaled
+        FROM part, s""",
     "one_hot": """
         WITH i AS (SELECT p_type, (row_number() OVER (ORDER BY count(*) DESC, p_type) - 1)::INT
                           AS level FROM part GROUP BY p_type)

@@ -17,7 +17,15 @@ from stellarate.operators import columns as cols
 from stellarate.operators import distributions as dist
 from stellarate.operators import evaluation, hashing, joins
 from stellarate.operators import profile as prof
-from stellarate.operators.encoding import category_index, index_categories, min_max
+from stellarate.operators.encoding import (
+    apply_categories,
+    apply_scale,
+    category_index,
+    fit_categories,
+    fit_scale,
+    index_categories,
+    min_max,
+)
 from stellarate.operators.tfidf import token_tfidf
 from stellarate.plans import cleaning, exploration, training
 from stellarate.session import scratch_path
@@ -518,6 +526,40 @@ def index_labels(spark: SparkSession, sf: str) -> DataFrame:
     return category_index(table(spark, sf, "part"), "p_name", "name_index")
 
 
+def gappy_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts with the brand missing where the size is 7."""
+    brand = F.when(F.col("p_size") != 7, F.col("p_brand"))
+    return table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice", brand.alias("p_brand"))
+
+
+def index_unseen(spark: SparkSession, sf: str) -> DataFrame:
+    """Brands indexed by a stored table that some of them are not in, in all three ways.
+
+    With ``error`` only rows whose brand is in the table are given.
+    """
+    parts = gappy_parts(spark, sf)
+    seen = parts.where(~F.col("p_brand").endswith("5"))
+    fitted = stored(fit_categories(seen, "p_brand"), scratch_path(spark, "brands.parquet"))
+    rows = {"skip": parts, "keep": parts, "error": seen}
+    modes = [
+        apply_categories(df, fitted, "p_brand", "brand_index", mode, ["p_partkey"]).select(
+            F.lit(mode).alias("mode"), "p_partkey", "p_brand", "brand_index"
+        )
+        for mode, df in rows.items()
+    ]
+    return modes[0].unionByName(modes[1]).unionByName(modes[2])
+
+
+def scale_unseen(spark: SparkSession, sf: str) -> DataFrame:
+    """Prices and sizes on scales that were stored for small parts."""
+    parts = gappy_parts(spark, sf)
+    fitted = fit_scale(parts.where("p_size <= 30"), ["p_retailprice", "p_size"])
+    fitted = stored(fitted, scratch_path(spark, "scales.parquet"))
+    both = apply_scale(parts, fitted, {"p_retailprice": "price_scaled"})
+    both = apply_scale(both, fitted, {"p_size": "size_scaled"}, clip=True)
+    return rounded(both.select("p_partkey", "price_scaled", "size_scaled"), 9)
+
+
 def one_hot(spark: SparkSession, sf: str) -> DataFrame:
     parts = table(spark, sf, "part").select("p_partkey", "p_type")
     stages = [
@@ -884,6 +926,8 @@ QUERIES: dict[str, Query] = {
     "binarize": binarized,
     "string_index": string_index,
     "index_labels": index_labels,
+    "index_unseen": index_unseen,
+    "scale_unseen": scale_unseen,
     "one_hot": one_hot,
     "one_hot_sparse": one_hot_sparse,
     "min_max": scaled,
