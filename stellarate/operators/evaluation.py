@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stellarate.operators.ordered import (
@@ -133,3 +133,67 @@ def area_under_roc(
     area = F.sum(F.col("neg") * above.cast("double"))
     pairs = F.max("total_pos").cast("double") * F.max("total_neg").cast("double")
     return ranked.agg(F.try_divide(area, pairs).alias("auc"))
+
+
+def bounded_curve(
+    scored: DataFrame,
+    score: str,
+    points: int = 200,
+    label: str = "label",
+    weight: str | None = None,
+) -> DataFrame:
+    """(threshold, fpr, tpr, slack): at most ``points`` points of the ROC curve, origin included.
+
+    The scores are dealt to bins of about as many rows; the curve has a point where each
+    bin ends, and these lie on the exact curve. Inside a bin the exact curve is within the
+    rectangle that its positive and negative rows span, so the area under the points is off by
+    at most half of each rectangle: ``slack``, 0 for a bin of one score. Rows are combined per
+    bin before they are shuffled, so neither the curve nor its scores go anywhere whole.
+    """
+    if points < 2:
+        raise ValueError(f"a curve has two points at least: {points}")
+    flags = scored.select(
+        (-F.col(score).cast("double")).alias("rank"),
+        F.when(F.col(label) == 1, _weight(weight)).otherwise(F.lit(0)).alias("pos"),
+        F.when(F.col(label) != 1, _weight(weight)).otherwise(F.lit(0)).alias("neg"),
+    ).where(F.col("rank").isNotNull() & ~F.isnan("rank") & (F.col("pos") + F.col("neg") > 0))
+    bins = points - 1
+    shares = [i / bins for i in range(1, bins)] or [0.5]
+    found = flags.agg(F.percentile_approx("rank", shares, 10 * bins)).first()[0]
+    cuts = sorted({x for x in found or [] if x not in (float("inf"), float("-inf"))}) or [0.0]
+    edges = cuts[: bins - 1]
+    # a cut point belongs to the bin before it, so that a score of many rows ends a bin
+    below = F.filter(F.array(*[F.lit(x) for x in edges]), lambda x: x < F.col("rank"))
+    dealt = flags.withColumn("bin", F.size(below) if edges else F.lit(0))
+    sums = dealt.groupBy("bin").agg(
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.min("rank").alias("lo"), F.max("rank").alias("hi")
+    )
+    # one row per bin, so at most ``points`` rows in these windows
+    upto = Window.orderBy("bin")
+    every = Window.partitionBy()
+    pos, neg = F.sum("pos").over(every), F.sum("neg").over(every)
+    single = F.col("lo") == F.col("hi")
+    half = F.try_divide(F.col("pos") * F.col("neg") / 2.0, (pos * neg).cast("double"))
+    curve = sums.select(
+        (-F.col("hi")).alias("threshold"),
+        F.try_divide(F.sum("neg").over(upto), neg).alias("fpr"),
+        F.try_divide(F.sum("pos").over(upto), pos).alias("tpr"),
+        F.when(single, 0.0).otherwise(half).alias("slack"),
+    )
+    origin = scored.sparkSession.range(1).select(
+        F.lit(None).cast("double").alias("threshold"),
+        F.lit(0.0).alias("fpr"),
+        F.lit(0.0).alias("tpr"),
+        F.lit(0.0).alias("slack"),
+    )
+    return origin.unionByName(curve)
+
+
+def curve_area(curve: DataFrame) -> DataFrame:
+    """(points, auc, slack) of a bounded curve: the exact area is within ``slack`` of ``auc``."""
+    before = Window.orderBy("fpr", "tpr")
+    width = F.col("fpr") - F.lag("fpr", 1, 0.0).over(before)
+    mean = (F.col("tpr") + F.lag("tpr", 1, 0.0).over(before)) / 2
+    return curve.withColumn("part", width * mean).agg(
+        F.count(F.lit(1)).alias("points"), F.sum("part").alias("auc"), F.sum("slack").alias("slack")
+    )

@@ -149,6 +149,16 @@ class ValueCounts:
         self.values = in_buckets(counts, "value", cut_points(long, "value"))
         self.offsets = bucket_offsets(self.values, self.keys, ["n"])
 
+    @classmethod
+    def counted(cls, counts: DataFrame) -> ValueCounts:
+        """The same over rows (column, value, n), which may repeat a value."""
+        made = cls.__new__(cls)
+        made.by, made.keys = [], ["column"]
+        counts = counts.select("column", F.col("value") + 0.0, "n").toDF("column", "value", "n")
+        made.values = in_buckets(counts, "value", cut_points(counts, "value"))
+        made.offsets = bucket_offsets(made.values, made.keys, ["n"])
+        return made
+
     def quantiles(self, shares: Sequence[float]) -> DataFrame:
         """Exact quantiles, linear between neighbours: keys, n, q0, q1, ...
 

@@ -27,7 +27,7 @@ def token_tfidf(
 
     The texts are tokenised once: the term counts of each row are written to the
     folder ``scratch``. Document frequencies come from the narrow pairs, combined before
-    they are shuffled. A token in many rows is dealt to as many parts as its frequency
+    they are shuffled, and are written beside it, for the choice of parts and the join. A token in many rows is dealt to as many parts as its frequency
     asks for, and its weight is repeated for each of them.
     """
     counted = stored(df.select(F.col(f"`{key}`").alias(key), term_counts(words).alias("terms")), scratch)
@@ -37,10 +37,10 @@ def token_tfidf(
     idf = F.when(
         F.col("df") >= min_doc_freq, F.log((rows + 1) / (F.col("df") + 1))
     ).otherwise(F.lit(0.0))
-    vocabulary = (
-        pairs.groupBy("token")
-        .agg(F.count(F.lit(1)).alias("df"))
-        .select("token", "df", idf.alias("idf"), parts.alias("_parts"))
+    frequencies = pairs.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    vocabulary = stored(
+        frequencies.select("token", "df", idf.alias("idf"), parts.alias("_parts")),
+        f"{scratch.rstrip('/')}-vocabulary",
     )
     # At most as many tokens as rows / rows_per_part times the terms of a row are hot.
     hot = vocabulary.where("_parts > 1").select("token", "_parts")

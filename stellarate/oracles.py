@@ -390,6 +390,15 @@ COEFFICIENT_NAMES = f"""{LEARN}, names AS (
 SELECT (row_number() OVER (ORDER BY i) - 1)::INT AS idx, name FROM names
 """
 
+ODD_EVENT = " OR ".join(f"event_id % {n} = 0" for n in (100, 89, 83, 79, 73))
+
+PART_PROFILE = profiled(
+    "part",
+    {"p_partkey": "bigint", "p_name": "string", "p_brand": "string", "p_type": "string",
+     "p_size": "int", "p_retailprice": "double"},
+    ["p_partkey", "p_size", "p_retailprice"],
+)
+
 ORACLES: dict[str, str] = {
     "confusion": f"""
         SELECT label, count(*) FILTER (prediction = 0) AS predicted_0,
@@ -413,6 +422,9 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT NULL::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE""",
     "auc_exact": f"""{ROC}
         SELECT round(sum(neg * (tp - pos / 2)) / nullif(max(p) * max(n), 0), 9) AS auc FROM c""",
+    "roc_bounded": f"""{ROC}
+        SELECT true AS few_points, true AS within, true AS narrow,
+               round(sum(neg * (tp - pos / 2)) / nullif(max(p) * max(n), 0), 9) AS auc FROM c""",
     "json_roundtrip": "SELECT * FROM customer",
     "json_inferred": "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier",
     "parquet_roundtrip": "SELECT * FROM part",
@@ -430,6 +442,9 @@ ORACLES: dict[str, str] = {
     ),
     "rename_join": JOINED,
     "rename_join_salted": JOINED,
+    "bucketed_join": """
+        SELECT l_partkey AS partkey, l_orderkey, l_linenumber, l_quantity, p_brand, p_retailprice
+        FROM lineitem JOIN part ON l_partkey = p_partkey""",
     "skewed_join": """
         SELECT l_orderkey, l_linenumber, l_returnflag, flag_lines, flag_most FROM lineitem
         JOIN (SELECT l_returnflag, count(*) AS flag_lines, max(l_quantity) AS flag_most
@@ -439,6 +454,11 @@ ORACLES: dict[str, str] = {
         WHERE event_id % 100 <> 0""",
     "rejected_lines": """
         SELECT 20 AS length, count(*) AS lines FROM events WHERE event_id % 100 = 0""",
+    "landing_variant": f"""
+        SELECT event_id, event_type, json_extract(props, '$.k')::BIGINT AS k, user_id, value
+        FROM events WHERE NOT ({ODD_EVENT})""",
+    "variant_rejects": f"""
+        SELECT event_id, count(*) AS lines FROM events WHERE {ODD_EVENT} GROUP BY event_id""",
     "schema_profile": """
         SELECT (row_number() OVER (ORDER BY column_index) - 1)::INT AS position,
                column_name AS "column",
@@ -535,12 +555,9 @@ ORACLES: dict[str, str] = {
         {"o_totalprice": ["count", "min", "max", "mean"]},
         {"o_orderpriority": ["count", "min", "max", "mean"]},
     ),
-    "profile_table": profiled(
-        "part",
-        {"p_partkey": "bigint", "p_name": "string", "p_brand": "string", "p_type": "string",
-         "p_size": "int", "p_retailprice": "double"},
-        ["p_partkey", "p_size", "p_retailprice"],
-    ),
+    "profile_table": PART_PROFILE,
+    "profile_states": PART_PROFILE,
+    "correlation_states": CORRELATION,
     "profile_tables": union([
         profiled(
             "customer",
@@ -556,6 +573,11 @@ ORACLES: dict[str, str] = {
             ["s_suppkey", "s_nationkey", "s_acctbal"],
         ),
     ]),
+    "sketch_quartiles": """
+        WITH g AS (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY ALL
+                   UNION ALL SELECT '(all)', count(*) FROM orders)
+        SELECT o_orderpriority, c AS "column", s AS stat, n, true AS within
+        FROM g, (VALUES ('o_custkey'), ('o_totalprice')) t(c), (VALUES ('25%'), ('50%'), ('75%')) q(s)""",
     "date_range": """
         SELECT min(o_orderdate)::VARCHAR AS oldest, max(o_orderdate)::VARCHAR AS newest
         FROM orders""",

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from stellarate.operators.columns import drop_columns, drop_incomplete_rows
 from stellarate.operators.profile import null_counts
+from stellarate.session import scratch_path
 from stellarate.sources.schemas import SCHEMAS
-from stellarate.sources.tables import Layout, parsed_lines, stored, whole_schema, write_parquet
+from stellarate.sources.bucketed import Bucketed, bucket_count, write_bucketed
+from stellarate.sources.tables import Layout, read_parquet, stored, write_parquet
+from stellarate.sources.variants import variant_lines
 
 
 @dataclass(frozen=True)
@@ -44,8 +47,8 @@ def landing_lines(
     spark: SparkSession, layout: Layout, table: str
 ) -> tuple[DataFrame, DataFrame]:
     """(rows with every column and nested field, rejected lines) of a raw table."""
-    path = layout.landing(table)
-    return parsed_lines(spark, path, whole_schema(spark, path, SCHEMAS[table]))
+    parsed = scratch_path(spark, f"{table}-variants")
+    return variant_lines(spark, layout.landing(table), SCHEMAS[table], parsed)
 
 
 def landing_table(spark: SparkSession, layout: Layout, table: str) -> DataFrame:
@@ -71,6 +74,14 @@ def clean_table(
     return stored(clean(rows, RULES[table]), layout.cleaned(table), mode)
 
 
+def bucket_cleaned(
+    spark: SparkSession, layout: Layout, table: str, key: str = "business_id", buckets: int | None = None
+) -> Bucketed:
+    """The cleaned table once more, in buckets by ``key``, for joins that move no rows."""
+    rows = read_parquet(spark, layout.cleaned(table))
+    return write_bucketed(rows, layout.bucketed(table), key, buckets or bucket_count(rows.count()))
+
+
 def null_report(before: DataFrame, after: DataFrame) -> DataFrame:
     """(column, before, after): nulls per column; dropped columns have no ``after``."""
     sides = [

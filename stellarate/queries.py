@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer
@@ -15,7 +15,7 @@ from stellarate.functions import sampling, text
 from stellarate.functions.numbers import binarize
 from stellarate.operators import columns as cols
 from stellarate.operators import distributions as dist
-from stellarate.operators import evaluation, hashing, joins
+from stellarate.operators import evaluation, hashing, joins, sketches, states
 from stellarate.operators import profile as prof
 from stellarate.operators.encoding import (
     apply_categories,
@@ -29,6 +29,7 @@ from stellarate.operators.encoding import (
 from stellarate.operators.tfidf import token_tfidf
 from stellarate.plans import cleaning, exploration, training
 from stellarate.session import scratch_path
+from stellarate.sources import bucketed, variants
 from stellarate.sources.tables import (
     Layout,
     parsed_lines,
@@ -84,6 +85,20 @@ def auc_exact(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(evaluation.area_under_roc(scored(spark, sf), "score"), 9)
 
 
+def roc_bounded(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether a curve of at most 50 points is within its bound of the exact area."""
+    rows = scored(spark, sf)
+    area = evaluation.curve_area(evaluation.bounded_curve(rows, "score", 50))
+    exact = evaluation.area_under_roc(rows, "score").scalar()
+    off = F.abs(F.col("bounded") - F.col("auc"))
+    return area.withColumnRenamed("auc", "bounded").withColumn("auc", exact).select(
+        (F.col("points") <= 50).alias("few_points"),
+        (off <= F.col("slack") + 1e-12).alias("within"),
+        (F.col("slack") < 0.02).alias("narrow"),
+        F.round("auc", 9).alias("auc"),
+    )
+
+
 # ---- sources, sinks, columns ----
 
 
@@ -149,6 +164,19 @@ def rename_join(spark: SparkSession, sf: str, broadcast_bytes: int = joins.BROAD
     return joined.withColumn("spent", F.col("l_quantity") * F.col("part_price"))
 
 
+def bucketed_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines with their parts, from two tables in buckets: the join shuffles nothing."""
+    lines = table(spark, sf, "lineitem").select(
+        F.col("l_partkey").alias("partkey"), "l_orderkey", "l_linenumber", "l_quantity"
+    )
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("partkey"), "p_brand", "p_retailprice")
+    sides = [
+        bucketed.write_bucketed(df, scratch_path(spark, name), "partkey", 8)
+        for name, df in (("bucketed-lines", lines), ("bucketed-parts", parts))
+    ]
+    return bucketed.bucketed_join(spark, *sides)
+
+
 def skewed_join(spark: SparkSession, sf: str) -> DataFrame:
     """Lines with the totals of their return flag: three keys, each with a large share."""
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
@@ -211,6 +239,52 @@ def rejected_lines(spark: SparkSession, sf: str) -> DataFrame:
     return kept.groupBy(F.length("line").alias("length")).agg(F.count(F.lit(1)).alias("lines"))
 
 
+def odd_events(spark: SparkSession, sf: str) -> str:
+    """``events_as_json`` with lines of other defects; their path.
+
+    Of the ids that 89 divides a key stands twice, of 83 in two spellings, of 79 in capitals
+    only, and of 73 something follows the object.
+    """
+    lines = spark.read.text(events_as_json(spark, sf))
+    number = F.regexp_extract("value", r'"event_id":(\d+)', 1).cast("bigint")
+    more = F.concat(F.regexp_replace("value", r"\}$", ""), F.lit(',"{}":1}}'))
+
+    def added(key: str):
+        return F.replace(more, F.lit("{}"), F.lit(key)).substr(F.lit(1), F.length(more) - 3 + len(key))
+
+    line = (
+        F.when(number % 89 == 0, added("event_id"))
+        .when(number % 83 == 0, added("EVENT_ID"))
+        .when(number % 79 == 0, F.regexp_replace("value", '"event_type"', '"EVENT_TYPE"'))
+        .when(number % 73 == 0, F.concat("value", F.lit(" {}")))
+        .otherwise(F.col("value"))
+    )
+    path = scratch_path(spark, "odd-events.json")
+    lines.select(line.alias("value")).write.text(path)
+    return path
+
+
+def landing_variant(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of a landing table whose lines have every sort of defect."""
+    parsed = scratch_path(spark, "variants.parquet")
+    rows, _ = variants.variant_lines(spark, odd_events(spark, sf), EVENT_COLUMNS, parsed)
+    return rows.select(
+        "event_id",
+        "event_type",
+        F.col("attributes.k").alias("k"),
+        F.col("attributes.user.id").alias("user_id"),
+        F.col("attributes.user.value").alias("value"),
+    )
+
+
+def variant_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines of the same table that are no rows, by the id that stands in them."""
+    parsed = scratch_path(spark, "variants.parquet")
+    _, rejects = variants.variant_lines(spark, odd_events(spark, sf), EVENT_COLUMNS, parsed)
+    number = F.regexp_extract("line", r'"event_id":(\d+)', 1).cast("bigint")
+    return rejects.groupBy(number.alias("event_id")).agg(F.count(F.lit(1)).alias("lines"))
+
+
 def schema_listing(spark: SparkSession, sf: str) -> DataFrame:
     return cols.schema_profile(table(spark, sf, "lineitem"))
 
@@ -288,10 +362,51 @@ def summary_approx(spark: SparkSession, sf: str) -> DataFrame:
     return prof.summary_all(table(spark, sf, "orders"))
 
 
+def sketch_quartiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether quartiles of stored sketches, by priority and merged, are within the rank bound."""
+    orders = table(spark, sf, "orders")
+    numbers, by = ["o_custkey", "o_totalprice"], ["o_orderpriority"]
+    kept = stored(sketches.quantile_sketches(orders, numbers, by), scratch_path(spark, "sketches.parquet"))
+    whole = sketches.merged_sketches(kept)
+    bound = sketches.rank_error()
+    by_part = sketches.rank_errors(sketches.sketch_quantiles(kept, by), orders, by)
+    total = sketches.rank_errors(sketches.sketch_quantiles(whole), orders)
+    total = total.withColumn("o_orderpriority", F.lit("(all)"))
+    counts = kept.select(*by, "column", "n").unionByName(
+        whole.select(F.lit("(all)").alias("o_orderpriority"), "column", "n")
+    )
+    checked = by_part.unionByName(total).join(counts, [*by, "column"])
+    return checked.select(*by, "column", "stat", "n", (F.col("error") <= bound).alias("within"))
+
+
 def profile_table(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(prof.profile(table(spark, sf, "part"), "part"), 4)
 
 
+def landed_states(df: DataFrame, key: str, parts: Sequence[str]) -> states.States:
+    """States of a table that lands in four files, the last of them later than the others."""
+    path = scratch_path(df.sparkSession, "states")
+    file = F.concat(F.lit("part-"), F.pmod(F.xxhash64(key), F.lit(4)))
+    landed = df.withColumn("file", file)
+    for load in (F.col("file") != "part-3", F.col("file") == "part-3"):
+        states.add_states(states.file_states(landed.where(load), "file"), path, parts)
+    return states.kept_states(df.sparkSession, path, parts)
+
+
+def profile_states(spark: SparkSession, sf: str) -> DataFrame:
+    """The profile of ``profile_table``, from the states of its files."""
+    kept = landed_states(table(spark, sf, "part"), "p_partkey", states.PARTS)
+    return rounded(states.merged_profile(kept, "part"), 4)
+
+
+def correlation_states(spark: SparkSession, sf: str) -> DataFrame:
+    """Correlations of the lines, from co-moments of their files."""
+    numbers = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    lines = table(spark, sf, "lineitem").select(*numbers)
+    kept = landed_states(lines, "l_extendedprice", ("columns", "pairs"))
+    return rounded(states.correlation(kept), 6, "r")
+
+
 def profile_tables(spark: SparkSession, sf: str) -> DataFrame:
     tables = {name: table(spark, sf, name) for name in ("customer", "supplier")}
     return rounded(exploration.profile_tables(tables, without_duplicates=("customer",)), 4)
@@ -868,6 +983,7 @@ QUERIES: dict[str, Query] = {
     "class_metrics": class_metrics,
     "roc_points": roc_points,
     "auc_exact": auc_exact,
+    "roc_bounded": roc_bounded,
     "json_roundtrip": json_roundtrip,
     "json_inferred": json_inferred,
     "parquet_roundtrip": parquet_roundtrip,
@@ -876,9 +992,12 @@ QUERIES: dict[str, Query] = {
     "null_report": null_report,
     "rename_join": rename_join,
     "rename_join_salted": rename_join_salted,
+    "bucketed_join": bucketed_join,
     "skewed_join": skewed_join,
     "cleaning_job": cleaning_job,
     "rejected_lines": rejected_lines,
+    "landing_variant": landing_variant,
+    "variant_rejects": variant_rejects,
     "schema_profile": schema_listing,
     "typed_dates": typed_dates,
     "dup_rows_events": dup_rows_events,
@@ -895,7 +1014,10 @@ QUERIES: dict[str, Query] = {
     "describe_table": describe_table,
     "summary_subset": summary_subset,
     "summary_approx": summary_approx,
+    "sketch_quartiles": sketch_quartiles,
     "profile_table": profile_table,
+    "profile_states": profile_states,
+    "correlation_states": correlation_states,
     "profile_tables": profile_tables,
     "date_range": date_range,
     "topk_values": topk_values,

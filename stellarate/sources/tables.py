@@ -33,6 +33,9 @@ class Layout:
     def cleaned(self, table: str) -> str:
         return self._path("cleaned", f"cleaned_{self.prefix}{table}.parquet")
 
+    def bucketed(self, table: str) -> str:
+        return self._path("cleaned", f"bucketed_{self.prefix}{table}")
+
     def trusted(self, table: str) -> str:
         return self._path("trusted", f"{table}.parquet")
 
