@@ -221,9 +221,12 @@ def correlation(df: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
     names = list(columns) or numeric_columns(df)
     cells = []
     for x, y in combinations_with_replacement(names, 2):
-        r = F.corr(known(df, x), known(df, y))
-        for a, b in dict.fromkeys([(x, y), (y, x)]):
-            cells.append(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), r.alias("r")))
+        both = known(df, x).isNotNull() & known(df, y).isNotNull()
+        a, b = F.when(both, known(df, x)), F.when(both, known(df, y))
+        # null, and no failure, where one of them does not vary
+        r = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+        for left, right in dict.fromkeys([(x, y), (y, x)]):
+            cells.append(F.struct(F.lit(left).alias("x"), F.lit(right).alias("y"), r.alias("r")))
     return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
 
 

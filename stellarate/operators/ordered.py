@@ -124,8 +124,9 @@ def stacked(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> Da
         return drop_incomplete_rows(df, list(columns)).select(
             *by, F.lit(columns[0]).alias("column"), F.col(f"`{columns[0]}`").cast("double").alias("value")
         )
-    doubles = df.select(*by, *[known(df, name).alias(name) for name in columns])
-    long = doubles.unpivot(list(by), list(columns), "column", "value")
+    doubles = df.select(*[F.col(f"`{name}`") for name in by], *[known(df, name).alias(name) for name in columns])
+    keys, values = ([F.col(f"`{name}`") for name in names] for names in (by, columns))
+    long = doubles.unpivot(keys, values, "column", "value")
     return long.where(F.col("value").isNotNull())
 
 

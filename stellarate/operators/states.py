@@ -21,7 +21,7 @@ from stellarate.functions.numbers import is_missing, known, numeric_columns
 from stellarate.operators.ordered import ValueCounts, stacked
 from stellarate.operators.profile import QUARTILES, TABLE, any_missing, row_digest
 
-#: Exact extremes: all of a long's digits, and as many decimals.
+#: Exact extremes: all of a long's digits, and up to 18 decimals of a decimal.
 EXACT = "decimal(38,18)"
 PARTS = ("columns", "pairs", "values", "digests")
 
@@ -143,15 +143,27 @@ def _shifted(n: str, mean: str, whole: str) -> Column:
     return F.coalesce(F.col(n) * away * away, F.lit(0.0))
 
 
+def _with_whole(states: DataFrame, keys: Sequence[str], means: dict[str, str]) -> DataFrame:
+    """The states with the mean over all files, {mean: its name}, of their key.
+
+    Means are added up as distances from the smallest one, so that values far from 0 keep
+    their digits. Both sides of the joins have a row per key: a column or a pair of columns.
+    """
+    some = states.where("n > 0")
+    base = some.groupBy(*keys).agg(*[F.min(m).alias(f"base_{w}") for m, w in means.items()])
+    away = [
+        (F.first(f"base_{w}") + F.sum(F.col("n") * (F.col(m) - F.col(f"base_{w}"))) / F.sum("n")).alias(w)
+        for m, w in means.items()
+    ]
+    whole = some.join(F.broadcast(base), list(keys)).groupBy(*keys).agg(*away)
+    return states.join(F.broadcast(whole), list(keys), "left")
+
+
 def merged_columns(columns: DataFrame) -> DataFrame:
     """The rows of ``column_states`` over all files, without ``file``."""
-    weighted = F.sum(F.col("n") * F.col("mean")) / F.sum(F.when(F.col("n") > 0, F.col("n")))
-    means = columns.groupBy("column").agg(weighted.alias("whole"))
-    # one row per column of the table
-    joined = columns.join(F.broadcast(means), "column")
-    total = {c: F.sum(c).alias(c) for c in ("rows", "null_rows", "nulls", "non_null", "n")}
+    joined = _with_whole(columns, ["column"], {"mean": "whole"})
     return joined.groupBy("column", "type").agg(
-        *total.values(),
+        *[F.sum(c).alias(c) for c in ("rows", "null_rows", "nulls", "non_null", "n")],
         F.max("whole").alias("mean"),
         F.sum(F.col("m2") + _shifted("n", "mean", "whole")).alias("m2"),
         F.min("lo").alias("lo"),
@@ -163,12 +175,7 @@ def merged_columns(columns: DataFrame) -> DataFrame:
 
 def merged_pairs(pairs: DataFrame) -> DataFrame:
     """The rows of ``pair_states`` over all files, without ``file``."""
-    held = F.sum(F.when(F.col("n") > 0, F.col("n")))
-    means = pairs.groupBy("x", "y").agg(
-        (F.sum(F.col("n") * F.col("mean_x")) / held).alias("whole_x"),
-        (F.sum(F.col("n") * F.col("mean_y")) / held).alias("whole_y"),
-    )
-    joined = pairs.join(F.broadcast(means), ["x", "y"])
+    joined = _with_whole(pairs, ["x", "y"], {"mean_x": "whole_x", "mean_y": "whole_y"})
     across = F.col("n") * (F.col("mean_x") - F.col("whole_x")) * (F.col("mean_y") - F.col("whole_y"))
     return joined.groupBy("x", "y").agg(
         F.sum("n").alias("n"),
@@ -205,9 +212,11 @@ def merged_profile(states: States, name: str, duplicates: bool = True) -> DataFr
         )
 
     def written(end: str) -> Column:
-        plain = F.col(end).cast("string")
-        whole = F.col("type").isin("bigint", "decimal(38,0)")
-        return F.when(whole, F.col(end).cast("decimal(38,0)").cast("string")).otherwise(plain)
+        # all of EXACT's decimals, cut to those of the column's type
+        text, scale = F.col(end).cast("string"), F.regexp_extract("type", r",(\d+)\)", 1)
+        digits = F.when(scale == "", 0).otherwise(F.try_to_number(scale, F.lit("99")).cast("int"))
+        point = F.when(digits == 0, 1).otherwise(0)
+        return F.substring(text, F.lit(1), F.length(text) - 18 + digits - point)
 
     merged = merged_columns(states.columns)
     named = F.col("column")

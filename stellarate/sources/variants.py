@@ -120,14 +120,17 @@ def nested(kind: T.DataType) -> bool:
     return isinstance(kind, (T.StructType, T.ArrayType, T.MapType))
 
 
-def at(path: tuple[str, ...]) -> str:
-    """A path into a variant, as text of a SQL literal."""
-    steps = "".join("[\"" + name.replace("\\", "\\\\").replace('"', '\\"') + '"]' for name in path)
-    return ("$" + steps).replace("\\", "\\\\").replace("'", "\\'")
-
-
 def value_at(path: tuple[str, ...], kind: str = "variant") -> Column:
-    return F.expr(f"try_variant_get(v, '{at(path)}', '{kind}')")
+    """What stands at a path of keys, as ``kind``; null if nothing does, or nothing of that type."""
+    if not any(set(name) & set("'\"\\[]") for name in path):
+        steps = "".join(f"['{name}']" for name in path)
+        return F.try_variant_get(F.col("v"), F.lit(f"${steps}"), kind)
+    # a path cannot spell such names, but a map of variants has them
+    found = F.col("v")
+    for name in path:
+        fields = F.try_variant_get(found, F.lit("$"), "map<string,variant>")
+        found = F.try_element_at(fields, F.lit(name))
+    return F.try_variant_get(found, F.lit("$"), kind)
 
 
 def column_value(field: T.StructField) -> tuple[Column, Column]:
