@@ -10,8 +10,8 @@ from __future__ import annotations
 
 import gc
 import os
-import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,53 +19,80 @@ import pyarrow.compute as pc
 
 from stellarate.llm.cluster import caches
 
-#: Words kept; beyond it a new word is encoded once per batch and forgotten.
-MOST_WORDS = 100_000
-MOST_PARTS = 250_000
+#: Parts of words that are kept; further ones are encoded once per batch and forgotten.
+MOST_PARTS = 300_000
 #: Characters looked at together.
 CHARACTERS = 1 << 21
 
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-PLAIN = re.compile(rf"([{LETTERS}]+)([!-&(-/:-@\[-`{{-~]*)")
+PLAIN = rf"^(?P<letters>[{LETTERS}]+)(?P<mark>[!-&(-/:-@\[-`{{-~]*)$"
+
+
+def gathered(ids: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The runs of ``ids`` that begin at ``start``, one after the other."""
+    begin = np.cumsum(length) - length
+    return ids[np.repeat(start - begin, length) + np.arange(length.sum())]
 
 
 class WordEncoder:
-    """Encodes with the tokenizer file at ``path``; ids come as little-endian 32-bit numbers."""
+    """Encodes with the tokenizer file at ``path``; ids come as little-endian 32-bit numbers.
+
+    The ids of all parts stand in one array; a part is known by its number, and ``start`` and
+    ``length`` say where its ids are.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {"": b""}
-
-    def encode_each(self, strings: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words that are not kept yet."""
-        plain, other, parts, new = [], [], self.parts, {}
-        for word in words:
-            match = PLAIN.fullmatch(word)
-            if match:
-                letters, mark = match[1].lower(), match[2]
-                plain.append((word, letters, mark))
-                if letters not in parts:
-                    new[letters] = None
-                if mark not in parts:
-                    new[mark] = None
-            else:
-                other.append(word)
-        new = list(new)
-        parts.update(zip(new, self.encode_each(new)))
-        known = {word: parts[letters] + parts[mark] for word, letters, mark in plain}
-        known.update(zip(other, self.encode_each(other)))
-        if len(parts) > MOST_PARTS:
-            for part in new:
-                del parts[part]
-        return known
+        self.number: dict[str, int] = {"": 0}
+        self.ids = np.zeros(0, "<u4")
+        self.start = np.zeros(1, np.int64)
+        self.length = np.zeros(1, np.int64)
+
+    def numbers(self, parts: list[str]) -> np.ndarray:
+        """The number of each part; new ones are encoded and added to the arrays."""
+        found = list(map(self.number.get, parts))
+        new = [part for part, number in zip(parts, found) if number is None]
+        if new:
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            length = np.fromiter(map(len, lists), np.int64, len(lists))
+            ids = np.fromiter(chain.from_iterable(lists), "<u4", length.sum())
+            first = len(self.length)
+            self.start = np.append(self.start, len(self.ids) + np.cumsum(length) - length)
+            self.length = np.append(self.length, length)
+            self.ids = np.append(self.ids, ids)
+            fresh = iter(range(first, first + len(new)))
+            found = [next(fresh) if number is None else number for number in found]
+            if first + len(new) <= MOST_PARTS:
+                self.number.update(zip(new, range(first, first + len(new))))
+        return np.array(found, np.int64)
+
+    def forget(self) -> None:
+        """Drop the ids of parts that are not kept."""
+        kept = len(self.number)
+        if len(self.length) > kept:
+            end = int(self.start[kept])
+            self.start, self.length = self.start[:kept].copy(), self.length[:kept].copy()
+            self.ids = self.ids[:end].copy()
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, how many each has)."""
+        split = pc.extract_regex(words, PLAIN)
+        plain = split.is_valid()
+        letters = pc.utf8_lower(pc.struct_field(split, "letters"))
+        heads = pc.if_else(plain, letters, words).dictionary_encode()
+        none = pa.scalar("", words.type)
+        marks = pc.if_else(plain, pc.struct_field(split, "mark"), none).dictionary_encode()
+        parts = np.empty((len(words), 2), np.int64)
+        for place, column in enumerate((heads, marks)):
+            numbers = self.numbers(column.dictionary.to_pylist())
+            parts[:, place] = numbers[column.indices.to_numpy()]
+        length = self.length[parts]
+        ids = gathered(self.ids, self.start[parts].ravel(), length.ravel())
+        self.forget()
+        return ids, length.sum(axis=1)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
@@ -88,33 +115,20 @@ class WordEncoder:
         texts = pa.array([part for _, part in held], pa.large_string())
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = split.flatten().dictionary_encode()
-        words = self.ids_of(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, words), np.int64, len(words)) >> 2
-        blob = np.frombuffer(b"".join(words), "<u4")
-        index = coded.indices.to_numpy()
-        count = sizes[index]
-        end = np.cumsum(count)
-        begin = (np.cumsum(sizes) - sizes)[index]
-        ids = blob[np.repeat(begin - end + count, count) + np.arange(count.sum())]
-        ends = np.append(0, end)[split.offsets.to_numpy()].tolist()
-        for (place, _), a, b in zip(held, ends[:-1], ends[1:]):
-            out[place].append(ids[a:b].tobytes())
-
-    def ids_of(self, words: list[str]) -> list[bytes]:
-        # what is made here has no cycles, and the collector would walk all kept words
+        # what is made here has no cycles, and the collector would walk all kept parts
         collecting = gc.isenabled()
         gc.disable()
         try:
-            kept = self.words
-            found = list(map(kept.get, words))
-            new = [word for word, ids in zip(words, found) if ids is None]
-            learnt = self.learn(new)
-            if len(kept) + len(learnt) <= MOST_WORDS:
-                kept.update(learnt)
-            return [learnt[w] if ids is None else ids for w, ids in zip(words, found)]
+            blob, sizes = self.words(coded.dictionary)
         finally:
             if collecting:
                 gc.enable()
+        index = coded.indices.to_numpy()
+        count = sizes[index]
+        ids = gathered(blob, (np.cumsum(sizes) - sizes)[index], count)
+        ends = np.append(0, np.cumsum(count))[split.offsets.to_numpy()].tolist()
+        for (place, _), a, b in zip(held, ends[:-1], ends[1:]):
+            out[place].append(ids[a:b].tobytes())
 
 
 def stretches(text: str) -> Iterator[str]:
