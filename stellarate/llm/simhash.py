@@ -16,6 +16,7 @@ what it links.
 from __future__ import annotations
 
 import math
+from hashlib import md5
 from itertools import combinations
 
 import numpy as np
@@ -325,30 +326,21 @@ def links(prints: DataFrame, count: int, scratch: Scratch, radius: int = RADIUS)
         bits = SPLIT_BITS
 
 
-def near_copies(
-    docs: DataFrame, scratch: Scratch, radius: int = RADIUS, further: DataFrame | None = None
+def named_groups(
+    groups: DataFrame, low: str, scratch: Scratch, radius: int, further: DataFrame | None = None
 ) -> DataFrame:
-    """Every row of ``docs`` as (doc_id, fp, component_id).
+    """(fp, component_id): of each fingerprint the least ``low`` of its component.
 
-    ``component_id`` is the smallest doc_id reachable over links, the row's own
-    included. Null and blank texts have fingerprint 0 and are linked like any
-    other; rows with a null doc_id keep it and lend no id to their component (null
-    if it has no other). Repeated rows stay repeated; no rows give no rows; other
-    columns are not looked at. ``further`` has links (a, b) of fingerprints to add.
+    ``groups`` has a row per fingerprint, with the least ``low`` of its documents. ``further``
+    has links (a, b) of fingerprints to add.
     """
-    prints = scratch.table(fingerprints(docs), "prints", keep=True)
-    groups = scratch.table(
-        prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")),
-        "groups",
-        keep=True,
-    )
-    count, rows = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    count = groups.count()
     edges = links(groups.select("fp"), count, scratch, radius)
     if further is not None:
         edges = edges.unionByName(further)
     roots = components(edges, scratch)
     member = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "low", F.coalesce("root", "fp").alias("root")
+        "fp", F.col(low).alias("low"), F.coalesce("root", "fp").alias("root")
     )
     member = scratch.table(member, "members")
     sizes = member.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("n"))
@@ -359,7 +351,26 @@ def near_copies(
         sizes.select("root", "n"),
         count,
     )
-    named = scratch.table(named.select("fp", "component_id"), "named", keep=True)
+    return scratch.table(named.select("fp", "component_id"), "named", keep=True)
+
+
+def near_copies(docs: DataFrame, scratch: Scratch, radius: int = RADIUS) -> DataFrame:
+    """Every row of ``docs`` as (doc_id, fp, component_id).
+
+    ``component_id`` is the smallest doc_id reachable over links, the row's own
+    included. Null and blank texts have fingerprint 0 and are linked like any
+    other; rows with a null doc_id keep it and lend no id to their component (null
+    if it has no other). Repeated rows stay repeated; no rows give no rows; other
+    columns are not looked at.
+    """
+    prints = scratch.table(fingerprints(docs), "prints", keep=True)
+    groups = scratch.table(
+        prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")),
+        "groups",
+        keep=True,
+    )
+    rows = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    named = named_groups(groups, "low", scratch, radius)
     return join_unique(prints, named, "fp", groups.select("fp", "n"), rows)
 
 
@@ -368,24 +379,56 @@ def hexed(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+#: A row of a document: its id, null last, and a digest of its text.
+ROW = ("no_id", "doc_id", "digest")
+
+
+def _prints_with_digests(batches: Batches) -> Batches:
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("digest", pa.binary())])
+    for rows in batches:
+        digests = [md5(t.as_buffer() or b"", usedforsecurity=False).digest() for t in rows.column(1)]
+        prints = pa.Table.from_batches(list(_fingerprints(iter([rows])))).combine_chunks()
+        yield batch(
+            schema, rows.column(0), prints.column("fp").combine_chunks(), pa.array(digests, pa.binary())
+        )
+
+
 def one_of_each(
     docs: DataFrame, scratch: Scratch, radius: int = RADIUS, further: DataFrame | None = None
 ) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest doc_id.
+    """``docs`` with one row of each component: that with the smallest doc_id.
 
-    Rows that share a doc_id are taken for one document, of which one row stays.
-    Rows with a null doc_id stay, as there is no id to choose by.
+    Rows are chosen by doc_id, null last, and then by a digest of their text, so texts that
+    share a doc_id, and texts without one, are told apart: no text is lost of which no
+    near copy stays, and of repeated rows one stays, also without an id. ``further`` has
+    links (a, b) of fingerprints to add. No rows give no rows; all columns stay.
     """
-    found = near_copies(docs, scratch, radius, further)
-    chosen = (
-        found.where(F.col("doc_id") == F.col("component_id"))
-        .groupBy("doc_id")
-        .agg(F.count(F.lit(1)).alias("_rows"))
+    prints = map_arrow(
+        docs.select("doc_id", "text"), _prints_with_digests, "doc_id long, fp long, digest binary"
+    )
+    prints = scratch.table(prints.withColumn("no_id", F.col("doc_id").isNull()), "row-prints")
+    groups = scratch.table(
+        prints.groupBy("fp").agg(F.min(F.struct(*ROW)).alias("low")), "row-groups", keep=True
+    )
+    named = named_groups(groups, "low", scratch, radius, further)
+    # one row of each component, by the row that its least fingerprint stands for
+    chosen = named.select("component_id.*").distinct()
+    key = F.struct(
+        F.col("doc_id").isNull().alias("no_id"),
+        F.coalesce("doc_id", F.lit(0)).alias("doc_id"),
+        F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("digest"),
+    )
+    known = F.struct("no_id", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "digest")
+    counts = prints.groupBy(known.alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    chosen = scratch.table(
+        chosen.select(known.alias("key")).join(counts, "key").withColumnRenamed("n", "_rows"),
+        "chosen",
+        keep=True,
     )
-    chosen = scratch.table(chosen, "chosen", keep=True)
-    rows = docs.select(F.struct("*").alias("row")).withColumn("doc_id", F.col("row.doc_id"))
+    rows = docs.select(F.struct("*").alias("row"), key.alias("key"))
     # merged at every size, so that what is shuffled grows as the documents do
-    kept = rows.join(chosen.hint("merge"), "doc_id")
+    kept = rows.join(chosen.hint("merge"), "key")
     once = kept.where("_rows = 1").select("row.*")
-    repeated = kept.where("_rows > 1").dropDuplicates(["doc_id"]).select("row.*")
-    return once.unionByName(repeated).unionByName(docs.where("doc_id IS NULL"))
+    # repeated rows are equal in id and text; the first of them stays
+    repeated = kept.where("_rows > 1").dropDuplicates(["key"]).select("row.*")
+    return once.unionByName(repeated)

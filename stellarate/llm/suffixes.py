@@ -63,6 +63,8 @@ UNIT_SCHEMA = pa.schema(
     ]
 )
 #: The 128 bits that, with the doc_id, tell texts apart: halves of a digest of the text.
+#: Candidates compared together; one takes some 3.5 KB while it is.
+COMPARED = 8192
 VERSION = ["high", "low"]
 #: Buckets of ids; only texts of buckets with a repeated id need a version.
 ID_BUCKETS = 1 << 16
@@ -472,11 +474,31 @@ def repeated_windows(
 
 
 def compare(batches: Batches) -> Batches:
-    """Candidates of some anchors, with their bytes, to the repeats among their windows."""
-    held = [rows for rows in batches if rows.num_rows]
-    if not held:
-        return
-    table = pa.Table.from_batches(held).combine_chunks()
+    """Candidates with their bytes, in order of their anchors, to the repeats among their windows.
+
+    Whole anchors are compared, about ``COMPARED`` candidates at a time.
+    """
+    held: list[pa.RecordBatch] = []
+    count = wanted = 0
+    for rows in batches:
+        held.append(rows)
+        count += rows.num_rows
+        if count < max(COMPARED, wanted):
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        anchor = table.column(0).to_numpy()
+        whole = int(np.flatnonzero(anchor != anchor[-1])[-1]) + 1 if anchor[0] != anchor[-1] else 0
+        if whole:
+            yield from compared(table.slice(0, whole))
+        held = table.slice(whole).combine_chunks().to_batches()
+        count -= whole
+        # an anchor of very many candidates is not looked through at every batch
+        wanted = 2 * count
+    if count:
+        yield from compared(pa.Table.from_batches(held).combine_chunks())
+
+
+def compared(table: pa.Table) -> Batches:
     anchor, doc, start, shape, high, low = (table.column(i).to_numpy() for i in range(6))
     blob, offsets = binary_buffer(table.column(6))
     windows, place = unshape(shape)
@@ -712,7 +734,9 @@ def remove_repeats(
         "doc", *VERSION, F.explode("units").alias("u")
     )
     candidates = candidates.select("u.anchor", "doc", "u.start", "u.shape", *VERSION, "u.bytes")
-    more = map_arrow(candidates.repartition("anchor"), compare, UNITS)
+    more = map_arrow(
+        candidates.repartition("anchor").sortWithinPartitions("anchor"), compare, UNITS
+    )
     rest = opened.select(
         F.lit(TEXT).cast("byte").alias("kind"),
         key,

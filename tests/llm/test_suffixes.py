@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from stellarate.llm import suffixes
@@ -155,3 +156,38 @@ def test_rows_of_a_null_id_spread_over_tasks(spark):
     dealt = suffixes.versioned(keyed, suffixes.shared_ids(docs)).repartition(8, "doc", *suffixes.VERSION)
     assert [(r.high, r.low) for r in dealt.where("doc = 1").collect()] == [(0, 0)]
     assert max(len(p) for p in dealt.rdd.glom().collect()) < 60
+
+
+def candidates(sizes, seed=3):
+    """Candidates of anchors 0, 1, ..., ``sizes`` of each, in batches; many windows are equal."""
+    rng = random.Random(seed)
+    rows = []
+    for anchor, size in enumerate(sizes):
+        core = bytes(rng.choice(b"abcd") for _ in range(180))
+        for doc in range(size):
+            own = bytearray(core)
+            own[rng.choice([0, 5, 90, 179])] = rng.choice(b"xyz")
+            rows.append((anchor, doc, rng.randrange(1000), (81 << 8) | 80, 0, 0, bytes(own)))
+    names = ["anchor", "doc", "start", "shape", "high", "low", "bytes"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    arrays = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
+    whole = pa.RecordBatch.from_arrays(arrays, names=names)
+    return [whole.slice(at, 7) for at in range(0, len(rows), 7)]
+
+
+def test_anchors_are_compared_a_few_at_a_time(monkeypatch):
+    """Whole anchors, whatever the batches: one with a third of all candidates among small ones."""
+    batches = candidates([1, 3, 60, 2, 40, 1, 5, 30, 8])
+
+    def found():
+        rows = [r for b in suffixes.compare(iter(batches)) for r in b.to_pylist()]
+        return {(r["doc"], r["start"] + i) for r in rows for i in range(r["whole"])}
+
+    together = found()
+    assert len(together) > 50
+    sizes, plain = [], suffixes.compared
+    monkeypatch.setattr(suffixes, "compared", lambda table: sizes.append(table.num_rows) or plain(table))
+    monkeypatch.setattr(suffixes, "COMPARED", 10)
+    assert found() == together
+    assert len(sizes) > 3 and sum(sizes) == 150 and max(sizes) < 120
+    assert list(suffixes.compare(iter([]))) == []
