@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,11 @@ MOST_PARTS = 300_000
 #: Characters looked at together.
 CHARACTERS = 1 << 21
 
+#: Parts encoded as one text, and how this tokenizer writes the end of a word.
+JOINED = 100
+WORD_END = "</w>"
+WORD = re.compile("[a-zß-öø-ÿ]+")
+
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 PLAIN = rf"^(?P<letters>[{LETTERS}]+)(?P<mark>[!-&(-/:-@\[-`{{-~]*)$"
 
@@ -46,28 +52,57 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
         self.number: dict[str, int] = {"": 0}
         self.ids = np.zeros(0, "<u4")
         self.start = np.zeros(1, np.int64)
         self.length = np.zeros(1, np.int64)
 
+    def encoded(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all parts, how many each has).
+
+        Parts of letters are encoded many at a time, as words of one text. Each ends with an
+        id that stands for the end of a word; should there be another number of those than of
+        parts, every part is encoded by itself.
+        """
+        text = [" ".join(parts[at : at + JOINED]) for at in range(0, len(parts), JOINED)]
+        found = self.tokenizer.encode_batch_fast(text, add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable([e.ids for e in found]), "<u4")
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) == len(parts) and (not len(ids) or ends[-1:] == len(ids)):
+            return ids, np.diff(np.append(0, ends))
+        return self.encoded_alone(parts)
+
+    def encoded_alone(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
+        lists = [e.ids for e in found]
+        length = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter(chain.from_iterable(lists), "<u4", length.sum()), length
+
     def numbers(self, parts: list[str]) -> np.ndarray:
         """The number of each part; new ones are encoded and added to the arrays."""
-        found = list(map(self.number.get, parts))
-        new = [part for part, number in zip(parts, found) if number is None]
-        if new:
-            lists = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            length = np.fromiter(map(len, lists), np.int64, len(lists))
-            ids = np.fromiter(chain.from_iterable(lists), "<u4", length.sum())
+        found = np.fromiter(map(self.number.get, parts, repeat(-1)), np.int64, len(parts))
+        places = np.flatnonzero(found < 0)
+        if len(places):
+            new = [parts[i] for i in places.tolist()]
+            words = [bool(WORD.fullmatch(part)) for part in new]
+            new = [*compress(new, words), *(p for p, word in zip(new, words) if not word)]
+            whole = sum(words)
+            ids, length = self.encoded(new[:whole])
+            more, rest = self.encoded_alone(new[whole:])
+            length = np.concatenate([length, rest])
             first = len(self.length)
             self.start = np.append(self.start, len(self.ids) + np.cumsum(length) - length)
             self.length = np.append(self.length, length)
-            self.ids = np.append(self.ids, ids)
-            fresh = iter(range(first, first + len(new)))
-            found = [next(fresh) if number is None else number for number in found]
+            self.ids = np.concatenate([self.ids, ids, more])
+            word = np.array(words)
+            found[places[word]] = first + np.arange(whole)
+            found[places[~word]] = first + whole + np.arange(len(new) - whole)
             if first + len(new) <= MOST_PARTS:
                 self.number.update(zip(new, range(first, first + len(new))))
-        return np.array(found, np.int64)
+        return found
 
     def forget(self) -> None:
         """Drop the ids of parts that are not kept."""
